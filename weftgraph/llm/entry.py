@@ -6,23 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import bpe, jaccard, mixing, pii, toxicity
+from weftgraph.llm import bpe, jaccard, langid, lattice, markov, mixing, pii, sharding, topk, toxicity
 from weftgraph.llm.common import table
 
 
+def op1_langid_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.label(docs, langid.train(docs))
+
+
 def op2_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_mix_fair_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
+def op5_near_embeddings_e8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_pairs(table(spark, sf_dir, "embeddings"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
+def op7_shards_lpt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_secrets_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return markov.scan(docs, markov.train(docs))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_pairs(table(spark, sf_dir, "documents"))
 
@@ -38,7 +60,19 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_toxicity_ordinal, op4_mix_fair_queue, op6_bpe_round_trip, op9_ngram_jaccard_join, op10_pii_anchors, pipeline]
+    found = [
+        op1_langid_crf,
+        op2_toxicity_ordinal,
+        op3_topk_threshold,
+        op4_mix_fair_queue,
+        op5_near_embeddings_e8,
+        op6_bpe_round_trip,
+        op7_shards_lpt,
+        op8_secrets_markov,
+        op9_ngram_jaccard_join,
+        op10_pii_anchors,
+        pipeline,
+    ]
     return {f.__name__: f for f in found}
 
 
@@ -55,4 +89,4 @@ SELECT doc_a, doc_b, CAST(common_grams AS DOUBLE) / (na + nb - common_grams) AS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_fair_queue": mixing.sql(), "op9_ngram_jaccard_join": JACCARD_SQL}
+    return {"op3_topk_threshold": topk.sql(), "op4_mix_fair_queue": mixing.sql(), "op9_ngram_jaccard_join": JACCARD_SQL}
