@@ -1,9 +1,19 @@
-"""Queries over the driver's tables and the SQL that says the same."""
+"""Queries over the driver's tables and the SQL that says the same, by family."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql():
-    return {}
+from weftgraph.plans import graph_queries, text_queries
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def queries() -> dict[str, Query]:
+    return {**graph_queries.QUERIES, **text_queries.QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {**graph_queries.SQL, **text_queries.SQL}

@@ -1,0 +1,164 @@
+"""Trees of files: listing, ignore rules, kinds, bundles, manifests, incremental scans."""
+
+from __future__ import annotations
+
+import os
+import re
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SKIP = (".git", ".hg", ".svn", "node_modules", "__pycache__", ".venv", "venv", ".sfdx", ".sf", ".idea", ".vscode", "dist", "build", "coverage", ".pytest_cache", ".mypy_cache", ".cache")
+#: Longest suffix first wins; (suffix, kind).
+SUFFIXES = (
+    (".cls", "apex_class"), (".trigger", "apex_trigger"), (".flow-meta.xml", "flow"), (".object-meta.xml", "object"), (".field-meta.xml", "field"),
+    (".validationRule-meta.xml", "object_child"), (".recordType-meta.xml", "object_child"), (".listView-meta.xml", "object_child"), (".compactLayout-meta.xml", "object_child"),
+    (".businessProcess-meta.xml", "object_child"), (".webLink-meta.xml", "object_child"), (".sharingReason-meta.xml", "object_child"), (".index-meta.xml", "object_child"),
+    (".fieldSet-meta.xml", "field_set"), (".globalValueSet-meta.xml", "value_set"), (".layout-meta.xml", "layout"), (".profile-meta.xml", "profile"), (".permissionset-meta.xml", "permset"),
+    (".permissionsetgroup-meta.xml", "permset_group"), (".page", "vf_page"), (".component", "vf_component"), (".workflow-meta.xml", "workflow"), (".approvalProcess-meta.xml", "approval"),
+    (".escalationRules-meta.xml", "automation"), (".assignmentRules-meta.xml", "automation"), (".autoResponseRules-meta.xml", "automation"), (".labels-meta.xml", "labels"), (".md-meta.xml", "metadata_record"),
+    (".namedCredential-meta.xml", "named_credential"), (".externalServiceRegistration-meta.xml", "external_service"), (".flexipage-meta.xml", "flexipage"), (".remoteSite-meta.xml", "remote_site"),
+    (".dataSource-meta.xml", "data_source"), (".authprovider-meta.xml", "auth_provider"), (".cspTrustedSite-meta.xml", "csp_site"), (".corsWhitelistOrigin-meta.xml", "cors_origin"),
+    (".resource-meta.xml", "static_resource"), (".quickAction-meta.xml", "quick_action"), (".tab-meta.xml", "tab"), (".app-meta.xml", "app"), (".settings-meta.xml", "config"), (".connectedApp-meta.xml", "config"),
+    (".testSuite-meta.xml", "config"), (".role-meta.xml", "config"), (".group-meta.xml", "config"), (".queue-meta.xml", "config"), (".site-meta.xml", "config"), (".network-meta.xml", "config"),
+    (".sharingRules-meta.xml", "sharing_rules"), (".sharingSet-meta.xml", "sharing_set"), (".rule-meta.xml", "restriction_rule"), (".duplicateRule-meta.xml", "duplicate_rule"), (".matchingRule-meta.xml", "matching_rule"),
+    (".report-meta.xml", "report"), (".dashboard-meta.xml", "dashboard"), (".reportType-meta.xml", "report_type"), (".installedPackage-meta.xml", "package"), (".bot-meta.xml", "bot"), (".botVersion-meta.xml", "bot_version"),
+    (".genAiPlugin-meta.xml", "plugin"), (".genAiFunction-meta.xml", "function"), (".genAiPlannerBundle", "planner"), (".aiAuthoringBundle-meta.xml", "authoring"), (".genAiPromptTemplate-meta.xml", "prompt_template"),
+)
+DOCS = ((".md", "document"), (".mdx", "document"), (".txt", "document"), (".rst", "document"), (".html", "document"), (".htm", "document"), (".pdf", "paper"), (".docx", "document"), (".xlsx", "document"), (".png", "image"), (".jpg", "image"), (".jpeg", "image"), (".gif", "image"), (".svg", "image"), (".webp", "image"))
+
+
+def glob_regex(pattern: str) -> tuple[str, bool, bool]:
+    """A gitignore line as (regular expression on the relative path, negated, whole-path), Java and Python alike."""
+    negated = pattern.startswith("!")
+    p = pattern[negated:]
+    p = p[1:] if p.startswith("\\") else p
+    only_dir = p.endswith("/")
+    p = p.rstrip("/")
+    rooted = "/" in p
+    p = p.lstrip("/")
+    out, i = "", 0
+    while i < len(p):
+        c = p[i]
+        if p.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+        elif p.startswith("/**", i) and i + 3 == len(p):
+            out, i = out + "/.*", i + 3
+        elif c == "*":
+            while p.startswith("**", i):
+                i += 1
+            out, i = out + "[^/]*", i + 1
+        elif c == "?":
+            out, i = out + "[^/]", i + 1
+        elif c == "[" and (j := p.find("]", i + 2)) > 0:
+            body = p[i + 1 : j]
+            out, i = out + "[" + ("^" + body[1:] if body[0] in "!^" else body).replace("\\", "\\\\") + "]", j + 1
+        else:
+            out, i = out + re.escape(c), i + 1
+    return ("^" if rooted else "(?:^|/)") + out + ("/" if only_dir else "(?:/|$)"), negated, rooted
+
+
+def ignore_rules(*texts: str) -> list[tuple[str, bool]]:
+    """Rules of ignore files, in order; blank lines and comments have none."""
+    out = []
+    for text in texts:
+        for line in text.splitlines():
+            line = line.rstrip() if not line.endswith("\\ ") else line
+            if line and not line.startswith("#"):
+                regex, negated, _ = glob_regex(line)
+                out.append((regex, negated))
+    return out
+
+
+def ignored(path: str | Column, rules: list[tuple[str, bool]]) -> Column:
+    """Whether the last rule that matches a relative path ignores it."""
+    col = F.col(path) if isinstance(path, str) else path
+    verdict = F.lit(False)
+    for regex, negated in rules:
+        verdict = F.when(col.rlike(regex), F.lit(not negated)).otherwise(verdict)
+    return verdict
+
+
+def find_rules(root: str) -> list[tuple[str, bool]]:
+    """Rules of ``.gitignore`` and ``.forceignore`` of the nearest folder upwards that has one, and of ``.sfgraphignore`` in the root."""
+    texts = []
+    for name in (".gitignore", ".forceignore"):
+        for folder in (Path(root), *Path(root).resolve().parents):
+            if (folder / name).is_file():
+                texts.append((folder / name).read_text(errors="ignore"))
+                break
+            if (folder / ".git").exists():
+                break
+    if (own := Path(root) / ".sfgraphignore").is_file():
+        texts.append(own.read_text(errors="ignore"))
+    return ignore_rules(*texts)
+
+
+def kind_of(path: str | Column) -> Column:
+    """The kind of a path by its longest known suffix; metadata before documents."""
+    col = F.col(path) if isinstance(path, str) else path
+    out = F.lit(None).cast("string")
+    for suffix, kind in sorted(DOCS, key=lambda s: len(s[0])):
+        out = F.when(F.lower(col).endswith(suffix), kind).otherwise(out)
+    for suffix, kind in sorted(SUFFIXES, key=lambda s: len(s[0])):
+        out = F.when(col.endswith(suffix), kind).otherwise(out)
+    out = F.when(F.regexp_extract(col, "/lwc/([^/]+)/\\1\\.(?:js|html)$", 1) != "", "lwc").otherwise(out)
+    return F.when(F.regexp_extract(col, "/aura/([^/]+)/\\1(?:\\.cmp|Controller\\.js|Helper\\.js)$", 1) != "", "aura").otherwise(out)
+
+
+def listing(spark: SparkSession, root: str, respect_ignore: bool = True) -> DataFrame:
+    """(path, rel, kind, skip_reason, mtime, size, content) of all files under ``root``, unknown kinds left out.
+
+    Spark's file index doesn't descend into hidden folders; the other skipped folders are filtered on the path before
+    contents are read.
+    """
+    base = str(Path(root).resolve())
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    path = F.regexp_replace("path", "^file:/*", "/")
+    rel = F.substr(path, F.lit(len(base) + 2))
+    skip = "(?:^|/)(?:" + "|".join(map(re.escape, SKIP)) + ")/"
+    out = raw.select(path.alias("path"), rel.alias("rel"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"), F.col("length").alias("size"), "content").where(~F.col("rel").rlike(skip))
+    reason = F.when(ignored("rel", find_rules(root)) if respect_ignore else F.lit(False), "ignored")
+    return out.withColumn("kind", kind_of("path")).where("kind is not null").withColumn("skip_reason", reason)
+
+
+def detect(spark: SparkSession, root: str, respect_ignore: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Files to extract, and how many were skipped by reason."""
+    every = listing(spark, root, respect_ignore)
+    return every.where("skip_reason is null").drop("skip_reason"), every.where("skip_reason is not null").groupBy("skip_reason").agg(F.count("*").alias("n"))
+
+
+def manifest(files: DataFrame) -> DataFrame:
+    return files.select("path", "mtime", F.md5("content").alias("hash"))
+
+
+def compare(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(path, change) of two manifests: new, deleted, changed (another time and another hash) or same."""
+    o, n = old.select("path", F.col("mtime").alias("_om"), F.col("hash").alias("_oh")), new.select("path", F.col("mtime").alias("_nm"), F.col("hash").alias("_nh"))
+    change = F.when(F.col("_oh").isNull(), "new").when(F.col("_nh").isNull(), "deleted").when((F.col("_om") != F.col("_nm")) & (F.col("_oh") != F.col("_nh")), "changed").otherwise("same")
+    return o.join(n, "path", "full_outer").select("path", change.alias("change"))
+
+
+def detect_incremental(spark: SparkSession, root: str, stored: DataFrame | None, respect_ignore: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Files new or changed since a stored manifest, and all changes by path."""
+    files, _ = detect(spark, root, respect_ignore)
+    if stored is None:
+        return files, files.select("path", F.lit("new").alias("change"))
+    change = compare(stored, manifest(files))
+    return files.join(change.where("change in ('new', 'changed')").select("path"), "path", "left_semi"), change
+
+
+def snapshot(root: str) -> dict[str, float]:
+    """Times of the files that count, by path, for polling."""
+    out = {}
+    for folder, dirs, names in os.walk(root):
+        dirs[:] = [d for d in dirs if d not in SKIP]
+        for name in names:
+            p = os.path.join(folder, name)
+            if name.endswith(("-meta.xml", ".cls", ".trigger", ".js", ".html", ".cmp", ".page", ".component", ".md", ".mdx", ".txt", ".rst", ".pdf", ".docx", ".xlsx", ".htm", ".xml")):
+                try:
+                    out[p] = os.stat(p).st_mtime
+                except OSError:
+                    pass
+    return out
