@@ -9,7 +9,8 @@ the distinct n-grams of its words (a shorter document has one gram, all its word
 2. A pair with the needed overlap shares ``l`` grams within the ``|x| - ceil(t|x|) + l`` rarest of both sides.
    *Light* (small) sets enumerate the 2-subsets of that prefix for ``l = 2`` and meet on equal subsets; *heavy*
    (large) sets scan the inverted lists of the prefix for ``l = 1``, against all sets. The boundary between them is the
-   size at which subsets to enumerate plus list entries to scan cost least, from sums by size over the whole table.
+   size at which subsets to enumerate plus list entries to scan are fewest, from sums by size over the whole table. A
+   scan costs an entry a gram, whatever the list's length, since step 3 links a list instead of enumerating its pairs.
 3. Sets that meet are linked to the first of their list, which takes as many links as the list is long; every pair to
    be found lies within one connected component of these links.
 4. Each component's sets are brought together once and every pair in it is counted against its sizes, exactly, by
@@ -190,7 +191,6 @@ def _prefixes(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.Record
         k = np.diff(bounds).astype(np.int64)
         # what one more shared gram (l = 1) leaves
         one = np.where(need[which] > 1, np.minimum(k, room[which] - 1), k)
-        total = np.append(0, np.cumsum(df.astype(np.float64)))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(ids[which]),
@@ -198,7 +198,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.Record
                 pa.array((need[which] > 1).astype(np.int32)),
                 pa.array(one.astype(np.int32)),
                 pa.array(k * (k - 1) / 2.0),
-                pa.array(total[bounds[:-1] + one] - total[bounds[:-1]]),
+                pa.array(one.astype(np.float64)),
                 list_array(bounds, pa.array(gram.view(np.int64))),
             ],
             names=["doc_id", "size", "two", "one", "subsets", "entries", "grams"],
