@@ -45,6 +45,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a materialised frame that nothing will read again."""
+    spark = df.sparkSession
+    for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if "/weft-" in path:
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class shuffle_cleanup:
     """Drop the shuffle files of statements that run inside, once each has ended."""
 

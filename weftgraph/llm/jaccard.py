@@ -11,10 +11,10 @@ the distinct n-grams of its words (a shorter document has one gram, all its word
    (large) sets scan the inverted lists of the prefix for ``l = 1``, against all sets. The boundary between them is the
    size at which subsets to enumerate plus list entries to scan are fewest, from sums by size over the whole table. A
    scan costs an entry a gram, whatever the list's length, since step 3 links a list instead of enumerating its pairs.
-3. Sets that meet are linked to the first of their list, which takes as many links as the list is long; every pair to
-   be found lies within one connected component of these links.
-4. Each component's sets are brought together once and every pair in it is counted against its sizes, exactly, by
-   scanning the members' grams; a component too large for one task is cut into blocks and joined block by block.
+3. Sets that meet are linked to the first of their list, which takes as many links as the list is long: every pair to
+   be found lies within the star of one such first set. Stars that lie within another are left out.
+4. Each star's sets are brought together and every pair in it is counted against its sizes, exactly, by scanning the
+   members' grams; a star too large for one task is cut into blocks and joined block by block.
 
 Nothing is sampled or capped. Defined cases: documents without words, or a null text or doc_id, join nothing; rows
 that repeat a doc_id don't pair with each other, and such an id takes the best of its rows' similarities; identical
@@ -32,13 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import arrow_map, hash_words, list_array, materialise, mix, normal_words, shuffle_cleanup, slices, small
+from weftgraph.llm.common import arrow_map, discard, hash_words, list_array, materialise, mix, normal_words, shuffle_cleanup, slices, small
 from weftgraph.llm.components import components
 from weftgraph.session import ship
 
 N = 3
 THRESHOLD = 0.5
-#: Grams in one range of the inverted index, and in one block of a component, about.
+#: Grams in one range of the inverted index, and in one block of a star, about.
 RANGE_GRAMS = 1_000_000
 BLOCK_GRAMS = 2_000_000
 ROW = np.uint64(0xFFFF)
@@ -271,7 +271,7 @@ def _links(keys: DataFrame, parts: int) -> DataFrame:
 
 
 def _verify(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
-    """Rows (task, comp, bi, bj, block, doc_id, grams) sorted by component and block pair: all its pairs at ``t`` or above."""
+    """Rows (comp, bi, bj, block, doc_id, grams) sorted by star and block pair: all its pairs at ``t`` or above."""
     held: list[tuple] = []
     now = None
 
@@ -345,21 +345,34 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, blo
         index = _index_rows(src, n, ranges)
         counted = materialise(index.repartitionById(ranges, F.expr(f"if(bucket < 0, cast(pmod(uid, {ranges}) as int), bucket)")).mapInArrow(_count_range, "uid long, bucket int, a binary, b binary, c binary"))
         prefix = materialise(counted.repartition(max(4, ranges), "uid").mapInArrow(lambda it: _prefixes(it, t), PREFIX))
+        discard(counted)
         links = materialise(_links(_keys(prefix, boundary(prefix)), parts).distinct())
-        comp = materialise(components(links).select(F.col("id").alias("__id"), "comp"))
-    return _join_components(src, comp, n, t, block_grams, parts)
+        discard(prefix)
+        stars = materialise(_stars(links))
+        discard(links)
+    return _join_stars(src, stars, n, t, block_grams, parts)
 
 
-def _join_components(src: DataFrame, comp: DataFrame, n: int, t: float, block_grams: int, parts: int) -> DataFrame:
-    members = src.join(small(comp, 40), F.col("doc_id") == F.col("__id")).select("comp", "doc_id", "text")
+def _stars(links: DataFrame) -> DataFrame:
+    """``(__id, comps)``: the stars of every document, without those that lie within the star of the least set that their centre is linked to."""
+    star = links.select(F.col("src").alias("comp"), F.col("dst").alias("__id"))
+    star = star.unionAll(star.select("comp", F.col("comp").alias("__id")).distinct())
+    above = links.groupBy(F.col("dst").alias("comp")).agg(F.min("src").alias("above")).join(links.select(F.col("src").alias("comp")).distinct(), "comp", "left_semi")
+    there = star.select(F.col("comp").alias("above"), "__id", F.lit(1).alias("there"))
+    inside = star.join(above, "comp").join(there, ["above", "__id"], "left").groupBy("comp").agg(F.count(F.when(F.col("there").isNull(), 1)).alias("outside")).where("outside = 0").select("comp")
+    return star.join(inside, "comp", "left_anti").groupBy("__id").agg(F.collect_list("comp").alias("comps"))
+
+
+def _join_stars(src: DataFrame, stars: DataFrame, n: int, t: float, block_grams: int, parts: int) -> DataFrame:
+    members = src.join(small(stars, 64), F.col("doc_id") == F.col("__id")).select("comps", "doc_id", "text")
 
     def sets(batch: pa.RecordBatch):
         bounds, gram = gram_sets(batch.column("text"), n)
-        yield pa.RecordBatch.from_arrays([batch.column("comp"), batch.column("doc_id"), pa.array(np.diff(bounds).astype(np.int64)), pa.array([_bytes(gram[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["comp", "doc_id", "size", "grams"])
+        yield pa.RecordBatch.from_arrays([batch.column("comps"), batch.column("doc_id"), pa.array(np.diff(bounds).astype(np.int64)), pa.array([_bytes(gram[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["comps", "doc_id", "size", "grams"])
 
-    owned = arrow_map(members, sets, "comp long, doc_id long, size long, grams binary")
+    owned = arrow_map(members, sets, "comps array<long>, doc_id long, size long, grams binary").withColumn("comp", F.explode("comps"))
     # text lengths bound the sets' sizes without another pass over the texts
-    weight = members.groupBy("comp").agg(F.sum(F.length("text")).alias("letters")).where(F.col("letters") > 4 * block_grams).select(F.col("comp").alias("__comp"), F.ceil(F.col("letters") / (4 * block_grams)).cast("int").alias("blocks"))
+    weight = members.select(F.explode("comps").alias("comp"), F.length("text").alias("letters")).groupBy("comp").agg(F.sum("letters").alias("letters")).where(F.col("letters") > 4 * block_grams).select(F.col("comp").alias("__comp"), F.ceil(F.col("letters") / (4 * block_grams)).cast("int").alias("blocks"))
     weight = materialise(weight)
     cut = owned.join(small(weight, 40), F.col("comp") == F.col("__comp"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     placed = (
