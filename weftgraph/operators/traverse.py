@@ -107,6 +107,20 @@ def ask(nodes: DataFrame, edges: DataFrame, degree: DataFrame, question: str, ho
     return within_budget(rows, F.length(F.concat_ws(" ", "id", "label", "sf_type")), ["depth", "id"], budget * 4)
 
 
+def ask_deep(nodes: DataFrame, edges: DataFrame, degree: DataFrame, question: str, hops: int = 2, fan: int = 5, budget: int = 2000) -> DataFrame:
+    """As ``ask``, in depth-first order: each node where the walk that takes successors of highest degree first meets it."""
+    start = score_nodes(nodes, question).orderBy(F.desc("score"), F.desc("id")).limit(1)
+    best = top_neighbours(edges, degree, fan)
+    level = start.select("id", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("visit"))
+    found = level
+    for d in range(1, hops + 1):
+        level = cut(best.join(level.select(F.col("id").alias("_at"), "visit"), F.col("source") == F.col("_at")).select(F.col("target").alias("id"), F.lit(d).alias("depth"), F.concat("visit", F.array("rank")).alias("visit")))
+        found = found.unionAll(level)
+    met = found.groupBy("id").agg(F.min_by("depth", "visit").alias("depth"), F.min("visit").alias("visit"))
+    rows = met.join(nodes.select("id", "label", "sf_type"), "id")
+    return within_budget(rows, F.length(F.concat_ws(" ", "id", "label", "sf_type")), ["visit", "id"], budget * 4)
+
+
 def within_budget(rows: DataFrame, cost, order: list, budget: int) -> DataFrame:
     """Rows in order while what came before stays under the budget. Sums run over ranges of the order first (see ``running``)."""
     return running(rows.withColumn("cost", cost.cast("bigint")), "cost", order).where(F.col("before") < budget).drop("before")

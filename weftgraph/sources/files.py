@@ -9,23 +9,17 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.extract.xml_kinds import KINDS
+
 SKIP = (".git", ".hg", ".svn", "node_modules", "__pycache__", ".venv", "venv", ".sfdx", ".sf", ".idea", ".vscode", "dist", "build", "coverage", ".pytest_cache", ".mypy_cache", ".cache")
 #: Longest suffix first wins; (suffix, kind).
-SUFFIXES = (
-    (".cls", "apex_class"), (".trigger", "apex_trigger"), (".flow-meta.xml", "flow"), (".object-meta.xml", "object"), (".field-meta.xml", "field"),
-    (".validationRule-meta.xml", "object_child"), (".recordType-meta.xml", "object_child"), (".listView-meta.xml", "object_child"), (".compactLayout-meta.xml", "object_child"),
-    (".businessProcess-meta.xml", "object_child"), (".webLink-meta.xml", "object_child"), (".sharingReason-meta.xml", "object_child"), (".index-meta.xml", "object_child"),
-    (".fieldSet-meta.xml", "field_set"), (".globalValueSet-meta.xml", "value_set"), (".layout-meta.xml", "layout"), (".profile-meta.xml", "profile"), (".permissionset-meta.xml", "permset"),
-    (".permissionsetgroup-meta.xml", "permset_group"), (".page", "vf_page"), (".component", "vf_component"), (".workflow-meta.xml", "workflow"), (".approvalProcess-meta.xml", "approval"),
-    (".escalationRules-meta.xml", "automation"), (".assignmentRules-meta.xml", "automation"), (".autoResponseRules-meta.xml", "automation"), (".labels-meta.xml", "labels"), (".md-meta.xml", "metadata_record"),
-    (".namedCredential-meta.xml", "named_credential"), (".externalServiceRegistration-meta.xml", "external_service"), (".flexipage-meta.xml", "flexipage"), (".remoteSite-meta.xml", "remote_site"),
-    (".dataSource-meta.xml", "data_source"), (".authprovider-meta.xml", "auth_provider"), (".cspTrustedSite-meta.xml", "csp_site"), (".corsWhitelistOrigin-meta.xml", "cors_origin"),
-    (".resource-meta.xml", "static_resource"), (".quickAction-meta.xml", "quick_action"), (".tab-meta.xml", "tab"), (".app-meta.xml", "app"), (".settings-meta.xml", "config"), (".connectedApp-meta.xml", "config"),
-    (".testSuite-meta.xml", "config"), (".role-meta.xml", "config"), (".group-meta.xml", "config"), (".queue-meta.xml", "config"), (".site-meta.xml", "config"), (".network-meta.xml", "config"),
-    (".sharingRules-meta.xml", "sharing_rules"), (".sharingSet-meta.xml", "sharing_set"), (".rule-meta.xml", "restriction_rule"), (".duplicateRule-meta.xml", "duplicate_rule"), (".matchingRule-meta.xml", "matching_rule"),
-    (".report-meta.xml", "report"), (".dashboard-meta.xml", "dashboard"), (".reportType-meta.xml", "report_type"), (".installedPackage-meta.xml", "package"), (".bot-meta.xml", "bot"), (".botVersion-meta.xml", "bot_version"),
-    (".genAiPlugin-meta.xml", "plugin"), (".genAiFunction-meta.xml", "function"), (".genAiPlannerBundle", "planner"), (".aiAuthoringBundle-meta.xml", "authoring"), (".genAiPromptTemplate-meta.xml", "prompt_template"),
-)
+SUFFIXES: tuple[tuple[str, str], ...] = (
+    (".cls", "apex_class"),
+    (".trigger", "apex_trigger"),
+    (".page", "vf_page"),
+    (".component", "vf_component"),
+    *((suffix, name) for name, kind in KINDS.items() for suffix in kind.suffixes),
+)
 DOCS = ((".md", "document"), (".mdx", "document"), (".txt", "document"), (".rst", "document"), (".html", "document"), (".htm", "document"), (".pdf", "paper"), (".docx", "document"), (".xlsx", "document"), (".png", "image"), (".jpg", "image"), (".jpeg", "image"), (".gif", "image"), (".svg", "image"), (".webp", "image"))
 
 
@@ -110,7 +104,7 @@ def kind_of(path: str | Column) -> Column:
 def listing(spark: SparkSession, root: str, respect_ignore: bool = True) -> DataFrame:
     """(path, rel, kind, skip_reason, mtime, size, content) of all files under ``root``, unknown kinds left out.
 
-    Spark's file index doesn't descend into hidden folders; the other skipped folders are filtered on the path before
+    Spark's file index doesn't descend into hidden folders and leaves out files without a byte; the other skipped folders are filtered on the path before
     contents are read.
     """
     base = str(Path(root).resolve())
