@@ -1,5 +1,6 @@
 """Mixing, sharding, tokens, and the pipeline."""
 
+import functools
 import hashlib
 import heapq
 import math
@@ -96,11 +97,15 @@ def test_copies_stay_together(table_of, spark):
 PIECES = ["Hello, world!", "", " ", "  two  spaces ", "tabs\tand\nlines\r\n", "don't we'll", "naïve café 日本語 🙂👩‍👩‍👧", "a b c", "<|endoftext|>", "x" * 3000, "1234 5,6", "…—“q”", "\u0000﻿"]
 
 
-def reference(text):
+@functools.cache
+def library():
     t = Tokenizer.from_file(bpe.TOKENIZER)
     t.encode_special_tokens = True
-    e = t.encode(text, add_special_tokens=False)
-    return e.ids
+    return t
+
+
+def reference(text):
+    return library().encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("text", PIECES)

@@ -48,7 +48,7 @@ def test_lists_stop_before_their_ends():
     base[:, 0] = rng.random(5000) * 0.01
     base[7] = [9, 0, 0, 0]
     lists = topk.Lists(np.arange(5000), base)
-    rows, score, depth = lists.search(np.array([1.0, 0, 0, 0]), -1, 1, -np.inf)
+    rows, score, depth = lists.search(np.array([[1.0, 0, 0, 0]]), np.array([-1]), 1)[0]
     assert rows[0] == 7 and score[0] == 9 and depth < 100
 
 

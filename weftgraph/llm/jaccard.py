@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import arrow_map, discard, hash_words, list_array, materialise, mix, normal_words, shuffle_cleanup, slices, small
+from weftgraph.llm.common import arrow_map, discard, fresh, hash_words, list_array, materialise, mix, normal_words, shuffle_cleanup, slices, small
 from weftgraph.llm.components import components
 from weftgraph.session import ship
 
@@ -109,7 +109,7 @@ def _index_rows(docs: DataFrame, n: int, ranges: int) -> DataFrame:
                 order = np.argsort(to, kind="stable")
                 to, low, doc = to[order], _five(gram[order]), doc[order]
                 cut = np.flatnonzero(np.diff(to, prepend=-1))
-                ends = np.append(cut[1:], len(to))
+                ends = np.append(cut[1:], len(to))[: len(cut)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.append(to[cut], -1).astype(np.int32)),
@@ -389,5 +389,6 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     """One document, the lowest doc_id, of each group linked by similar pairs; rows without a doc_id stay, as does every row of a kept doc_id."""
     with shuffle_cleanup(docs.sparkSession):
         linked = components(materialise(similar_pairs(docs, **how).select(F.col("doc_a").alias("src"), F.col("doc_b").alias("dst"))))
-        gone = materialise(linked.where("id <> comp").select(F.col("id").alias("__gone")))
-    return docs.join(small(gone, 24), F.col("doc_id") == F.col("__gone"), "left_anti")
+        name = fresh(docs, "__gone")
+        gone = materialise(linked.where("id <> comp").select(F.col("id").alias(name)))
+    return docs.join(small(gone, 24), F.col("doc_id") == F.col(name), "left_anti")

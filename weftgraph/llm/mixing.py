@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import materialise, small
+from weftgraph.llm.common import fresh, materialise, small
 
 SEED = "weft-mix-1"
 #: Hexadecimal digits of the shuffle key that name a bucket of a source.
@@ -89,8 +89,9 @@ def mixture(docs: DataFrame, weights: dict[str, float] | None = None, default: f
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` in the mixture, with all their columns, range-sorted by finish time."""
-    place = materialise(mixture(docs, order=False, **how).groupBy(F.col("doc_id").alias("__id")).agg(F.min("finish").alias("__finish")))
-    return docs.join(small(place, 24), F.col("doc_id") == F.col("__id")).orderBy("__finish", "__id").drop("__id", "__finish")
+    key, at = fresh(docs, "__id"), fresh(docs, "__finish")
+    place = materialise(mixture(docs, order=False, **how).groupBy(F.col("doc_id").alias(key)).agg(F.min("finish").alias(at)))
+    return docs.join(small(place, 24), F.col("doc_id") == F.col(key)).orderBy(at, key).drop(key, at)
 
 
 def sql(weights: dict[str, float] | None = None, default: float = DEFAULT_WEIGHT, budget_share: float = BUDGET_SHARE, seed: str = SEED) -> str:

@@ -3,9 +3,10 @@
 Vectors are cut into blocks. Each block keeps, for every dimension, its rows sorted by that coordinate. A query walks
 all lists at once from the end that its own coordinate's sign prefers (sorted access), scores each new row in full
 (random access), and bounds every unseen row by the sum over dimensions of its coordinate times the last value seen.
-It stops once the bound is below its k-th best, which starts at the k-th best of the blocks before in the same task.
-Queries whose lists are still open when half of a block's rows have been seen take the rest of the block at once,
-which is what walking the lists to their ends comes to. Every row is a query; its own vec_id is no result of it.
+It stops once the bound is below its k-th best. Random access to a row costs some ten times a row of a matrix product, so
+queries whose lists are still open when ``OPEN`` of a block's rows may have been seen take the rest of the block together
+in one product, which is what walking the lists to their ends comes to. Every row is a query; its own vec_id is no
+result of it.
 
 Scores are rounded to nine digits and equal ones ordered by vec_id. Defined cases: rows with a null vec_id or vector,
 or a null or non-finite coordinate, are neither queries nor results; zero vectors score 0 with all; equal vectors tie; rows
@@ -28,6 +29,10 @@ from weftgraph.session import ship
 K = 10
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 16_384
+#: The share of a block's rows after which the lists are walked to their ends at once.
+OPEN = 1 / 16
+#: Queries in one product.
+TOGETHER = 128
 DIGITS = 9
 
 
@@ -43,8 +48,8 @@ class Lists:
         """Rounded dot products, each row summed by itself, so equal rows tie exactly."""
         return np.round((self.x[rows] * q).sum(1), DIGITS)
 
-    def search(self, q: np.ndarray, own: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, int]:
-        """Row numbers and scores of the block's best k for ``q`` that may reach ``floor``, and how deep the lists were read."""
+    def walk(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int, bool]:
+        """Row numbers and scores of the best k for ``q`` so far, how deep the lists were read, and whether that is all."""
         n = len(self.ids)
         live = np.flatnonzero(q)
         seen = np.zeros(n, bool)
@@ -53,31 +58,38 @@ class Lists:
             seen[mine] = True
         rows, score = np.zeros(0, np.int64), np.zeros(0)
         depth, step = 0, 2
+        up = q[live] > 0
         while depth < n and len(live):
             to = min(n, depth + step)
-            up = q[live] > 0
-            new = np.unique(np.concatenate([self.order[live[up], n - to : n - depth].ravel(), self.order[live[~up], depth:to].ravel()]))
-            new = new[~seen[new]]
+            new = np.concatenate([self.order[live[up], n - to : n - depth].ravel(), self.order[live[~up], depth:to].ravel()])
+            new = np.unique(new[~seen[new]])
             seen[new] = True
             rows, score = self._best(np.append(rows, new), np.append(score, self.scores(new, q)), k)
             last = np.where(up, n - to, to - 1)
             bound = float((q[live] * self.x[self.order[live, last], live]).sum()) + 1e-9
-            least = max(floor, score[-1] if len(score) == k else -math.inf)
             depth, step = to, step * 2
-            if bound < least:
-                return rows, score, depth
-            if depth * len(live) > n:
+            if len(score) == k and bound < score[-1]:
+                return rows, score, depth, True
+            if depth * len(live) > n * OPEN:
                 break
-        rest = np.flatnonzero(~seen)
-        if len(rest):
-            # a fast product finds what may matter; what it keeps is scored again, exactly
-            rough = self.x @ q
-            cut = max(floor, score[-1] if len(score) == k else -math.inf) - 1e-6
-            rest = rest[rough[rest] >= cut]
-            if len(rest) > k:
-                rest = rest[rough[rest] >= np.partition(rough[rest], len(rest) - k)[len(rest) - k] - 1e-6]
-            rows, score = self._best(np.append(rows, rest), np.append(score, self.scores(rest, q)), k)
-        return rows, score, n
+        return rows, score, depth, False
+
+    def search(self, queries: np.ndarray, owns: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """Row numbers and scores of the best k for each query, and how deep its lists were read."""
+        out = [self.walk(q, own, k) for q, own in zip(queries, owns, strict=True)]
+        still = [j for j, o in enumerate(out) if not o[3]]
+        for i in range(0, len(still), TOGETHER):
+            some = still[i : i + TOGETHER]
+            # a product finds what may matter; what it keeps is scored again, row by row
+            rough = queries[some] @ self.x.T
+            for j, near in zip(some, rough, strict=True):
+                mine = np.searchsorted(self.ids, owns[j])
+                if mine < len(self.ids) and self.ids[mine] == owns[j]:
+                    near[mine] = -math.inf
+                cut = np.partition(near, len(near) - k)[len(near) - k] if len(near) > k else -math.inf
+                rows = np.flatnonzero((near >= cut - 1e-6) & (near > -math.inf))
+                out[j] = (*self._best(rows, self.scores(rows, queries[j]), k), len(self.ids), True)
+        return [o[:3] for o in out]
 
     def _best(self, rows: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((self.ids[rows], -score))[:k]
@@ -102,13 +114,15 @@ def top_k(vectors: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS, query_ro
     rows = materialise(usable(vectors))
     blocks, nb = _cut(rows, "block", block_rows)
     batches, nq = _cut(rows, "batch", query_rows)
+
     def run(own: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(own):
             lists = Lists(own["id"].to_numpy(), np.stack(own["v"].to_numpy()))
-            for q, v in zip(queries["id"].to_numpy(), queries["v"], strict=True):
-                rows_, score, depth = lists.search(np.asarray(v), q, k, -math.inf)
-                out.append((np.full(len(rows_), q), lists.ids[rows_], score))
+            owns = queries["id"].to_numpy()
+            if len(owns):
+                for q, (rows_, score, _) in zip(owns, lists.search(np.stack(queries["v"].to_numpy()), owns, k), strict=True):
+                    out.append((np.full(len(rows_), q), lists.ids[rows_], score))
         if not out:
             return pd.DataFrame({"vec_id": np.zeros(0, np.int64), "neighbour_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         return pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("vec_id", "neighbour_id", "score"))})
