@@ -2,7 +2,7 @@
 
 ``P(grade <= k) = sigmoid(theta_k - w.x)``: one weight vector is shared by all thresholds, so a word that
 raises the odds of grade 1 raises those of grades 2 and 3 too. ``x`` holds, for the words of a document and
-their first four and five letters, ``log(1 + count)``, a sparse vector over features chosen by log-odds.
+their first four and five letters, ``log(1 + count)``, a sparse vector over features chosen by log-likelihood ratio.
 
 Labels say only toxic or not. Grade 0 is a clean document; toxic ones are graded 1 to ``GRADES - 1`` by how
 many of their words the training rows show to be tell-tale, cut at the quantiles of the toxic training rows.
@@ -28,7 +28,7 @@ from weftgraph.llm.common import arrow_map, normal_words
 #: Labelled rows of either class that a model is fitted on, at most.
 TRAIN_PER_CLASS = 2000
 FEATURES = 1000
-#: A feature counts from this z-score of its log-odds.
+#: A feature counts from this root of its log-likelihood ratio, or from what chance reaches among all features.
 MIN_Z = 2.5
 GRADES = 4
 MIN_DOCS = 3
@@ -70,8 +70,17 @@ class Ordinal:
         return np.bincount(key // len(self.weights), self.weights[key % len(self.weights)] * np.log1p(count), n)
 
 
+def signed_root(a: int, n: int, b: int, m: int) -> float | None:
+    """Root of the log-likelihood ratio of a feature in ``a`` of ``n`` and ``b`` of ``m`` rows, if it is commoner in the first."""
+    if a * m <= b * n:
+        return None
+    share = (a + b) / (n + m)
+    cells = ((a, n * share), (n - a, n * (1 - share)), (b, m * share), (m - b, m * (1 - share)))
+    return float(np.sqrt(2 * sum(x * np.log(x / e) for x, e in cells if x)))
+
+
 def fit(texts: list[str], toxic: list[int], features: int = FEATURES, grades: int = GRADES, steps: int = 200) -> Ordinal:
-    """Choose features by log-odds, grade the toxic rows, and fit by Adam on the log-likelihood."""
+    """Choose features by log-likelihood ratio, grade the toxic rows, and fit by Adam on the log-likelihood."""
     y = np.asarray(toxic, int)
     nothing = Ordinal({}, np.zeros(0), np.arange(1.0, grades) * 10)
     if not len(y) or y.min() == y.max():
@@ -87,14 +96,10 @@ def fit(texts: list[str], toxic: list[int], features: int = FEATURES, grades: in
     for c, label in zip(counts, y, strict=True):
         df[label].update(c.keys())
     n = [int((y == k).sum()) for k in (0, 1)]
-    odds = {}
-    for f in df[0].keys() | df[1].keys():
-        a, b = df[1][f], df[0][f]
-        if a + b >= MIN_DOCS:
-            z = np.log((a + 0.5) / (n[1] - a + 0.5)) - np.log((b + 0.5) / (n[0] - b + 0.5))
-            odds[f] = z / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (n[1] - a + 0.5) + 1 / (n[0] - b + 0.5))
-    chosen = sorted(odds, key=lambda f: (-odds[f], f))[:features]
-    chosen = [f for f in chosen if odds[f] > MIN_Z]
+    odds = {f: z for f in df[0].keys() | df[1].keys() if df[0][f] + df[1][f] >= MIN_DOCS and (z := signed_root(df[1][f], n[1], df[0][f], n[0])) is not None}
+    # the largest of so many features of pure chance would reach about this
+    least = max(MIN_Z, float(np.sqrt(2 * np.log(max(2, len(odds))))))
+    chosen = [f for f in sorted(odds, key=lambda f: (-odds[f], f))[:features] if odds[f] > least]
     if not chosen:
         return nothing
     index = {f: i for i, f in enumerate(chosen)}
