@@ -22,8 +22,8 @@ def query(sql: str | None = None):
     return add
 
 
-def graph(spark: SparkSession, d: str, lines: bool = True) -> tuple[DataFrame, DataFrame]:
-    return T.nodes(spark, d), T.edges(spark, d, lines)
+def graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return T.nodes(spark, d), T.edges(spark, d)
 
 
 N, E, K = f"nodes AS ({T.NODES_SQL})", f"edges AS ({T.EDGES_SQL})", f"edges AS ({T.KEYS_SQL})"
@@ -169,7 +169,7 @@ def shortest_path(spark, d):
 
 
 @query(
-    f"""WITH {N}, {K}, {DEG}, s AS (SELECT id FROM nodes WHERE contains(lower(label), 'middle') OR contains(lower(label), 'nation_7') ORDER BY contains(lower(label), 'middle')::INT + contains(lower(label), 'nation_7')::INT + CASE WHEN lower(label) IN ('middle', 'nation_7', 'middle nation_7') THEN 100 ELSE 0 END DESC, id DESC LIMIT 1),
+    f"""WITH {N}, {E}, {DEG}, s AS (SELECT id FROM nodes WHERE contains(lower(label), 'middle') OR contains(lower(label), 'nation_7') ORDER BY contains(lower(label), 'middle')::INT + contains(lower(label), 'nation_7')::INT + CASE WHEN lower(label) IN ('middle', 'nation_7', 'middle nation_7') THEN 100 ELSE 0 END DESC, id DESC LIMIT 1),
 p AS (SELECT source, target FROM (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY degree DESC, target) AS r FROM (SELECT DISTINCT source, target FROM edges) JOIN deg ON deg.id = target) WHERE r <= 5),
 l1 AS (SELECT DISTINCT target AS id FROM p WHERE source IN (SELECT id FROM s) AND target NOT IN (SELECT id FROM s)),
 l2 AS (SELECT DISTINCT target AS id FROM p WHERE source IN (SELECT id FROM l1) AND target NOT IN (SELECT id FROM s UNION ALL SELECT id FROM l1)),
@@ -177,13 +177,13 @@ a AS (SELECT id, 0 AS depth FROM s UNION ALL SELECT id, 1 FROM l1 UNION ALL SELE
 SELECT id, depth, label, sf_type, CAST(length(id || ' ' || label || ' ' || sf_type) AS BIGINT) AS cost FROM a JOIN nodes USING (id)"""
 )
 def query_bfs(spark, d):
-    nodes, edges = graph(spark, d, lines=False)
+    nodes, edges = graph(spark, d)
     return traverse.ask(nodes, edges, measure.degrees(nodes, edges), "middle nation_7")
 
 
-@query(f"WITH {MEM}, {K}, z AS (SELECT community, CAST(count(*) AS BIGINT) AS size FROM mem GROUP BY 1), i AS (SELECT a.community, count(DISTINCT (least(source, target), greatest(source, target))) AS pairs FROM edges JOIN mem a ON a.id = source JOIN mem b ON b.id = target WHERE a.community = b.community GROUP BY 1) SELECT community, size, CASE WHEN size <= 1 THEN 1.0 ELSE round(coalesce(pairs, 0) / (size * (size - 1) / 2), 2) END::DOUBLE AS cohesion FROM z LEFT JOIN i USING (community)")
+@query(f"WITH {MEM}, {E}, z AS (SELECT community, CAST(count(*) AS BIGINT) AS size FROM mem GROUP BY 1), i AS (SELECT a.community, count(DISTINCT (least(source, target), greatest(source, target))) AS pairs FROM edges JOIN mem a ON a.id = source JOIN mem b ON b.id = target WHERE a.community = b.community GROUP BY 1) SELECT community, size, CASE WHEN size <= 1 THEN 1.0 ELSE round(coalesce(pairs, 0) / (size * (size - 1) / 2), 2) END::DOUBLE AS cohesion FROM z LEFT JOIN i USING (community)")
 def community_cohesion(spark, d):
-    return measure.cohesion(T.edges(spark, d, lines=False), by_nation(spark, d))
+    return measure.cohesion(T.edges(spark, d), by_nation(spark, d))
 
 
 REGIONS = "mem AS (SELECT 'customer_' || c_custkey AS id, n_regionkey AS community FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT 'supplier_' || s_suppkey, n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION ALL SELECT 'nation_' || n_nationkey, n_nationkey FROM nation UNION ALL SELECT 'part_' || p_partkey, p_size FROM part)"
@@ -214,26 +214,20 @@ def community_sizes(spark, d):
     return mixed_members(spark, d).groupBy("community").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH RECURSIVE {N}, nr AS (SELECT n_nationkey AS k, n_regionkey AS r FROM nation), root AS (SELECT r, 'nation_' || min('nation_' || k) AS m, min('nation_' || k) AS nm FROM nr GROUP BY 1), c AS (SELECT 'customer_' || c_custkey AS id, r FROM customer JOIN nr ON k = c_nationkey UNION ALL SELECT 'supplier_' || s_suppkey, r FROM supplier JOIN nr ON k = s_nationkey UNION ALL SELECT 'nation_' || k, r FROM nr UNION ALL SELECT 'region_' || r_regionkey, r_regionkey FROM region UNION ALL SELECT 'orders_' || o_orderkey, r FROM orders JOIN customer ON c_custkey = o_custkey JOIN nr ON k = c_nationkey), l AS (SELECT r, min(id) AS component FROM c GROUP BY 1) SELECT n.id, coalesce(component, n.id) AS component FROM nodes n LEFT JOIN c USING (id) LEFT JOIN l USING (r)")
+@query()
 def components(spark, d):
-    nodes, edges = graph(spark, d, lines=False)
+    nodes, edges = graph(spark, d)
     return communities.components(nodes, edges)
 
 
-def town(spark, d):
-    """Suppliers, nations, regions and the inferred supplier-part pairs of the smaller side: a graph that communities show on."""
-    nodes = T.nodes(spark, d, ("region", "nation", "supplier", "customer"))
-    return nodes, T.edges(spark, d, lines=False).where("not source like 'orders%'")
-
-
 @query()
 def louvain_communities(spark, d):
-    return communities.communities(*town(spark, d))
+    return communities.communities(*graph(spark, d))
 
 
 @query()
 def betweenness(spark, d):
-    return communities.betweenness(*town(spark, d))
+    return communities.betweenness(*graph(spark, d))
 
 
 END = "e AS (SELECT ed.source, ed.target, ed.relation, ed.confidence, ed.ord, s.file_type AS sk, t.file_type AS tk, s.source_file AS sf, t.source_file AS tf, sd.degree AS sdeg, td.degree AS tdeg, sm.community AS sc, tm.community AS tc FROM edges ed JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target JOIN deg sd ON sd.id = source JOIN deg td ON td.id = target LEFT JOIN mem sm ON sm.id = source LEFT JOIN mem tm ON tm.id = target WHERE relation NOT IN ('contains', 'method'))"
@@ -283,27 +277,27 @@ def dominant_confidence(spark, d):
 @query("SELECT DISTINCT 'customer_' || o_custkey AS id, 'Customer ' || o_custkey AS label, 'Customer' AS sf_type, true AS stub FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def stub_nodes(spark, d):
     known = T.read(spark, d, "customer").where("c_acctbal > 0").select(F.concat(F.lit("customer_"), "c_custkey").alias("id"))
-    edges = T.edges(spark, d, lines=False).where("target like 'customer%'")
+    edges = T.edges(spark, d).where("target like 'customer%'")
     got = build.stub_nodes(known, edges, {"customer_": "Customer"})
     return got.withColumn("label", F.concat(F.lit("Customer "), "label"))
 
 
-@query(f"WITH {E}, k AS (SELECT id FROM ({T.NODES_SQL}) WHERE NOT (sf_type = 'Part' AND id LIKE '%7')) SELECT source, target, relation, ord FROM edges WHERE EXISTS (SELECT 1 FROM k WHERE k.id = source) AND EXISTS (SELECT 1 FROM k WHERE k.id = target)")
+@query(f"WITH {E}, k AS (SELECT id FROM ({T.NODES_SQL}) WHERE sf_type <> 'Part') SELECT source, target, relation, ord FROM edges WHERE EXISTS (SELECT 1 FROM k WHERE k.id = source) AND EXISTS (SELECT 1 FROM k WHERE k.id = target)")
 def dangling_prune(spark, d):
-    nodes, edges = graph(spark, d)
-    return build.prune_dangling(nodes.where("not (sf_type = 'Part' and id like '%7')"), edges).select("source", "target", "relation", "ord")
+    """What is left of all edges where no table gave the parts."""
+    return build.prune_dangling(T.nodes(spark, d, ("region", "nation", "customer", "supplier", "orders")), T.edges(spark, d)).select("source", "target", "relation", "ord")
 
 
-@query("WITH e AS (SELECT 'CUSTOMER-' || o_custkey AS source, CASE WHEN o_orderkey % 2 = 0 THEN 'orders__' || o_orderkey ELSE 'nowhere' END AS target, o_orderkey AS ord FROM orders) SELECT lower(replace(source, '-', '_')) AS source, replace(target, '__', '_') AS target, ord FROM e WHERE target <> 'nowhere'")
+@query("WITH e AS (SELECT 'CUSTOMER-' || o_custkey AS source, CASE WHEN o_orderstatus = 'F' THEN 'orders__' || o_orderkey ELSE 'nowhere' END AS target, o_orderkey AS ord FROM orders) SELECT lower(replace(source, '-', '_')) AS source, replace(target, '__', '_') AS target, ord FROM e WHERE target <> 'nowhere'")
 def endpoint_fallback(spark, d):
-    edges = T.read(spark, d, "orders").select(F.concat(F.lit("CUSTOMER-"), "o_custkey").alias("source"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("orders__"), "o_orderkey")).otherwise("nowhere").alias("target"), F.col("o_orderkey").alias("ord"))
+    edges = T.read(spark, d, "orders").select(F.concat(F.lit("CUSTOMER-"), "o_custkey").alias("source"), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("orders__"), "o_orderkey")).otherwise("nowhere").alias("target"), F.col("o_orderkey").alias("ord"))
     return build.match_endpoints(T.nodes(spark, d, ("customer", "orders")), edges)
 
 
-@query(f"WITH {K} SELECT source, target, relation, CASE WHEN target LIKE 'customer%' AND target NOT IN (SELECT 'customer_' || c_custkey FROM customer WHERE c_acctbal > 0) THEN 'INFERRED' ELSE confidence END AS confidence, confidence_score FROM edges")
+@query(f"WITH {E} SELECT source, target, relation, CASE WHEN target LIKE 'customer%' AND target NOT IN (SELECT 'customer_' || c_custkey FROM customer WHERE c_acctbal > 0) THEN 'INFERRED' ELSE confidence END AS confidence, confidence_score FROM edges")
 def confidence_downgrade(spark, d):
     known = T.nodes(spark, d).join(T.read(spark, d, "customer").where("c_acctbal <= 0").select(F.concat(F.lit("customer_"), "c_custkey").alias("id")), "id", "left_anti")
-    return resolve.downgrade(T.edges(spark, d, lines=False), known).select("source", "target", "relation", "confidence", "confidence_score")
+    return resolve.downgrade(T.edges(spark, d), known).select("source", "target", "relation", "confidence", "confidence_score")
 
 
 @query(
@@ -318,7 +312,7 @@ def dedup_by_label(spark, d):
 )
 def dedup_rewrites_edges(spark, d):
     nodes = T.read(spark, d, "customer").select(F.concat(F.lit("customer_"), "c_custkey").alias("id"), F.concat_ws(" ", "c_mktsegment", "c_nationkey").alias("label"), F.lit("Segment").alias("sf_type"))
-    edges = T.edges(spark, d, lines=False).where("source like 'orders%'").select("source", "target")
+    edges = T.edges(spark, d).where("source like 'orders%'").select("source", "target")
     return build.deduplicate(nodes, edges)[1]
 
 
@@ -365,12 +359,13 @@ def derived_object_edges(spark, d):
 
 
 @query(
-    f"WITH {K}, ids AS ({T.NODES_SQL}) SELECT 'node' AS kind, id AS ref, 'no label' AS error FROM ids WHERE sf_type = 'Supplier' AND id LIKE '%3' UNION ALL SELECT 'edge', source || '->' || target, 'unknown target' FROM edges WHERE target LIKE 'nation_1%' UNION ALL SELECT 'edge', source || '->' || target, 'unknown source' FROM edges WHERE source LIKE 'nation_1%' UNION ALL SELECT 'edge', source || '->' || target, 'unknown confidence' FROM edges WHERE source LIKE 'nation%'"
+    f"WITH {E}, ids AS ({T.NODES_SQL}) SELECT 'node' AS kind, id AS ref, 'no label' AS error FROM ids WHERE sf_type = 'Order' UNION ALL SELECT 'edge', source || '->' || target, 'unknown target' FROM edges WHERE target LIKE 'nation%' UNION ALL SELECT 'edge', source || '->' || target, 'unknown source' FROM edges WHERE source LIKE 'nation%' UNION ALL SELECT 'edge', source || '->' || target, 'unknown confidence' FROM edges WHERE relation = 'supplies'"
 )
 def validate_fragment(spark, d):
-    nodes, edges = graph(spark, d, lines=False)
-    nodes = nodes.where("id not like 'nation_1%'").withColumn("label", F.when(~((F.col("sf_type") == "Supplier") & F.col("id").like("%3")), F.col("label")))
-    return measure.validate(nodes, edges.withColumn("confidence", F.when(F.col("source").like("nation%"), "GUESSED").otherwise(F.col("confidence"))))
+    """All faults of the graph without its nations, its orders' labels and a proper confidence of what is inferred."""
+    nodes, edges = graph(spark, d)
+    nodes = nodes.where("sf_type <> 'Nation'").withColumn("label", F.when(F.col("sf_type") != "Order", F.col("label")))
+    return measure.validate(nodes, edges.withColumn("confidence", F.when(F.col("relation") == "supplies", "GUESSED").otherwise(F.col("confidence"))))
 
 
 @query(
@@ -383,7 +378,7 @@ def debounce_sessions(spark, d):
 
 
 @query(
-    "WITH s AS (SELECT o_orderkey % 50 AS b, o_orderkey AS span, o_orderkey * 40 AS lo, o_orderkey * 40 + CAST(floor(o_totalprice) AS BIGINT) % 100 + 1 AS hi FROM orders), p AS (SELECT event_id, event_id * 7 AS pos FROM events) SELECT event_id, arg_min(span, (hi - lo, span)) AS span FROM p JOIN s ON pos >= lo AND pos < hi GROUP BY 1"
+    "WITH s AS (SELECT o_orderkey AS span, o_orderkey * 40 AS lo, o_orderkey * 40 + CAST(floor(o_totalprice) AS BIGINT) % 100 + 1 AS hi FROM orders), p AS (SELECT event_id, event_id * 7 AS pos FROM events) SELECT event_id, arg_min(span, (hi - lo, span)) AS span FROM p JOIN s ON pos >= lo AND pos < hi GROUP BY 1"
 )
 def interval_join(spark, d):
     from weftgraph.operators.intervals import innermost
@@ -393,15 +388,15 @@ def interval_join(spark, d):
     return innermost(points, spans, "event_id").select("event_id", "span")
 
 
-@query(f"WITH {N}, {K} SELECT 'MERGE (n:' || sf_type || ' {{id: ''' || id || '''}}) SET n.label = ''' || replace(label, '''', chr(92) || '''') || ''';' AS line FROM nodes UNION ALL SELECT 'MATCH (a {{id: ''' || source || '''}}), (b {{id: ''' || target || '''}}) MERGE (a)-[:' || upper(relation) || ']->(b);' FROM edges")
+@query(f"WITH {N}, {E} SELECT 'MERGE (n:' || sf_type || ' {{id: ''' || id || '''}}) SET n.label = ''' || replace(label, '''', chr(92) || '''') || ''';' AS line FROM nodes UNION ALL SELECT 'MATCH (a {{id: ''' || source || '''}}), (b {{id: ''' || target || '''}}) MERGE (a)-[:' || upper(relation) || ']->(b);' FROM edges")
 def cypher_export(spark, d):
     from weftgraph.sinks.lines import cypher
 
-    return cypher(*graph(spark, d, lines=False))
+    return cypher(*graph(spark, d))
 
 
-@query(f"WITH {K} SELECT replace(source, ':', '_') || CASE confidence WHEN 'EXTRACTED' THEN ' -->|' ELSE ' -.->|' END || relation || '| ' || target AS line FROM edges")
+@query(f"WITH {E} SELECT replace(source, ':', '_') || CASE confidence WHEN 'EXTRACTED' THEN ' -->|' ELSE ' -.->|' END || relation || '| ' || target AS line FROM edges")
 def mermaid_export(spark, d):
     from weftgraph.sinks.lines import mermaid_edges
 
-    return mermaid_edges(T.edges(spark, d, lines=False))
+    return mermaid_edges(T.edges(spark, d))

@@ -95,13 +95,17 @@ def skip_counts(spark, d):
 
 
 @query(
-    "WITH a AS (SELECT doc_id, md5(text) AS hash FROM documents WHERE doc_id % 10 <> 3), b AS (SELECT doc_id, md5(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS hash FROM documents WHERE doc_id % 10 <> 4) SELECT coalesce(a.doc_id, b.doc_id) AS path, CASE WHEN a.doc_id IS NULL THEN 'new' WHEN b.doc_id IS NULL THEN 'deleted' WHEN a.hash <> b.hash THEN 'changed' ELSE 'same' END AS change FROM a FULL JOIN b ON a.doc_id = b.doc_id"
+    r"WITH a AS (SELECT 'doc_' || doc_id AS path, md5(text) AS hash FROM documents UNION ALL SELECT 'page_' || page_id, md5(html) FROM pages), b AS (SELECT 'doc_' || doc_id AS path, md5(regexp_replace(text, '[ \t\n\r]+', ' ', 'g')) AS hash FROM documents UNION ALL SELECT 'item_' || item_id, md5(text) FROM benchmark) SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'new' WHEN b.path IS NULL THEN 'deleted' WHEN a.hash <> b.hash THEN 'changed' ELSE 'same' END AS change FROM a FULL JOIN b ON a.path = b.path"
 )
 def manifest_diff(spark, d):
-    docs = T.read(spark, d, "documents")
-    old = docs.where("doc_id % 10 <> 3").select(F.col("doc_id").alias("path"), F.lit(1.0).alias("mtime"), F.md5(F.col("text").cast("binary")).alias("hash"))
-    edited = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    new = docs.where("doc_id % 10 <> 4").select(F.col("doc_id").alias("path"), F.lit(2.0).alias("mtime"), F.md5(edited.cast("binary")).alias("hash"))
+    """From documents and pages to documents with single spaces and benchmark items."""
+    docs, pages, items = (T.read(spark, d, n) for n in ("documents", "pages", "benchmark"))
+
+    def listed(df, prefix, key, text, mtime):
+        return df.select(F.concat(F.lit(prefix), F.col(key)).alias("path"), F.lit(mtime).alias("mtime"), F.md5(text.cast("binary")).alias("hash"))
+
+    old = listed(docs, "doc_", "doc_id", F.col("text"), 1.0).unionAll(listed(pages, "page_", "page_id", F.col("html"), 1.0))
+    new = listed(docs, "doc_", "doc_id", F.regexp_replace("text", "[ \\t\\n\\r]+", " "), 2.0).unionAll(listed(items, "item_", "item_id", F.col("text"), 2.0))
     return files.compare(old, new)
 
 
@@ -113,12 +117,12 @@ def line_numbers(spark, d):
     return markdown.lines(T.read(spark, d, "documents")).where(F.col("text").rlike("^[A-Z][a-z]+ [A-Za-z]+\\.?$"))
 
 
-HEAD = r"SELECT doc_id, CAST(unnest(range(1, len(ls) + 1)) AS INTEGER) AS line, unnest(ls) AS t FROM (SELECT doc_id, string_split(CASE WHEN doc_id % 2 = 0 THEN '# ' ELSE '### ' END || text, chr(10)) AS ls FROM documents)"
+HEAD = r"SELECT doc_id, CAST(unnest(range(1, len(ls) + 1)) AS INTEGER) AS line, unnest(ls) AS t FROM (SELECT doc_id, string_split(CASE WHEN lang = 'en' THEN '# ' ELSE '### ' END || text, chr(10)) AS ls FROM documents)"
 
 
 @query(f"SELECT doc_id, line, CAST(length(regexp_extract(t, '^(#+)', 1)) AS INTEGER) AS level, trim(regexp_extract(t, '^#{{1,3}}[ \\t]+(.+)$', 1), ' ') AS heading FROM ({HEAD}) WHERE regexp_matches(t, '^#{{1,3}}[ \\t]+[^ \\t]')")
 def headings(spark, d):
-    docs = T.read(spark, d, "documents").select("doc_id", F.concat(F.when(F.col("doc_id") % 2 == 0, "# ").otherwise("### "), "text").alias("text"))
+    docs = T.read(spark, d, "documents").select("doc_id", F.concat(F.when(F.col("lang") == "en", "# ").otherwise("### "), "text").alias("text"))
     return markdown.headings(docs)
 
 
@@ -130,13 +134,20 @@ def mention_extract(spark, d):
     return markdown.names(T.read(spark, d, "documents")).select("doc_id", "name")
 
 
-LABELS = "l AS (SELECT 'customer_' || c_custkey AS id, 'In' AS name, false AS is_doc FROM customer WHERE c_custkey BETWEEN 1 AND 2 UNION ALL SELECT 'supplier_1', 'Thing', false UNION ALL SELECT 'doc_x', 'Thing', true UNION ALL SELECT 'part_' || p_partkey, 'Erly', false FROM part WHERE p_partkey BETWEEN 1 AND 3 UNION ALL SELECT 'doc_y', 'Nd', true)"
+FIND = r"regexp_extract_all({0}, '(?:^|[^A-Za-z0-9_\x{{80}}-\x{{10FFFF}}])([A-Z][a-z]+[A-Za-z0-9_]*)', 1)"
+KNOWN = f"SELECT DISTINCT 'item_' || name AS id, name, false AS is_doc FROM (SELECT unnest({FIND.format('text')}) AS name FROM benchmark) UNION ALL SELECT DISTINCT 'page_' || name, name, false FROM (SELECT unnest({FIND.format('html')}) AS name FROM pages) UNION ALL SELECT DISTINCT 'talk_' || name, name, true FROM (SELECT unnest({FIND.format('text')}) AS name FROM conversations)"
+LABELS = f"l AS (SELECT * FROM ({KNOWN}) WHERE name NOT IN ({', '.join(chr(39) + w + chr(39) for w in markdown.DENY)}))"
 MENTIONS = f"{WORDS}, {LABELS}, h AS (SELECT 'doc:' || doc_id AS source, id AS target, is_doc, w.name, max(CASE WHEN is_doc THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, w.name) AS solid FROM w JOIN l ON l.name = w.name), k AS (SELECT source, target, name, count(*) OVER (PARTITION BY source, name) AS n FROM h WHERE solid = 0 OR NOT is_doc)"
 
 
 def _mentions(spark, d):
-    rows = [("customer_1", "In", "object"), ("customer_2", "In", "object"), ("supplier_1", "Thing", "object"), ("doc_x", "Thing.md", "document"), ("part_1", "Erly", "field"), ("part_2", "Erly", "field"), ("part_3", "Erly", "field"), ("doc_y", "Nd", "document")]
-    nodes = spark.createDataFrame(rows, "id string, label string, file_type string")
+    """Names in documents that are known from benchmark items, pages and, as documents, conversations."""
+
+    def known(table, text, prefix, file_type):
+        found = markdown.names(T.read(spark, d, table).select(F.lit(0).alias("doc_id"), F.col(text).alias("text")), least=2).select("name").distinct()
+        return found.select(F.concat(F.lit(prefix), "name").alias("id"), F.col("name").alias("label"), F.lit(file_type).alias("file_type"))
+
+    nodes = known("benchmark", "text", "item_", "object").unionAll(known("pages", "html", "page_", "object")).unionAll(known("conversations", "text", "talk_", "document"))
     found = markdown.names(T.read(spark, d, "documents"), least=2).select(F.concat(F.lit("doc:"), "doc_id").alias("doc_id"), "name", F.lit(0.6).alias("score"))
     return resolve.resolve_mentions(found, nodes)
 

@@ -49,7 +49,7 @@ def _edge(df: DataFrame, src: str, src_key: str, dst: str, dst_key: str, relatio
     )
 
 
-def edges(spark: SparkSession, sf_dir: str, lines: bool = True) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References by key, ``contains`` from an order to the part of each line item (parallel edges), inferred ``supplies``."""
     t = lambda n: read(spark, sf_dir, n)
     out = [
@@ -58,11 +58,10 @@ def edges(spark: SparkSession, sf_dir: str, lines: bool = True) -> DataFrame:
         _edge(t("supplier"), "supplier", "s_suppkey", "nation", "s_nationkey", "references", "EXTRACTED", 1.0, "supplier"),
         _edge(t("orders"), "orders", "o_orderkey", "customer", "o_custkey", "references", "EXTRACTED", 1.0, "orders"),
     ]
-    if lines:
-        items = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-        out.append(_edge(items, "orders", "l_orderkey", "part", "l_partkey", "contains", "EXTRACTED", 1.0, "lineitem", "l_linenumber"))
-        pairs = items.select("l_suppkey", "l_partkey").distinct()
-        out.append(_edge(pairs, "supplier", "l_suppkey", "part", "l_partkey", "supplies", "INFERRED", 0.75, "lineitem"))
+    items = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    out.append(_edge(items, "orders", "l_orderkey", "part", "l_partkey", "contains", "EXTRACTED", 1.0, "lineitem", "l_linenumber"))
+    pairs = items.select("l_suppkey", "l_partkey").distinct()
+    out.append(_edge(pairs, "supplier", "l_suppkey", "part", "l_partkey", "supplies", "INFERRED", 0.75, "lineitem"))
     got = out[0]
     for df in out[1:]:
         got = got.unionByName(df)
