@@ -25,6 +25,26 @@ def test_empty_graph(spark):
     assert traverse.impact(e, n).isEmpty() and analyse.questions(n, e, communities.communities(n, e)).first().kind == "no_signal"
 
 
+def test_components_are_those_of_union_find(spark):
+    import random
+
+    rng = random.Random(4)
+    ids = [f"n{k:03}" for k in range(150)]
+    pairs = [(rng.choice(ids), rng.choice(ids)) for _ in range(110)] + [(f"c{k:02}", f"c{k + 1:02}") for k in range(40)]
+    every = [*ids, *[f"c{k:02}" for k in range(41)]]
+    root = {i: i for i in every}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    assert {r.id: r.component for r in communities.components(nodes(spark, *every), edges(spark, *pairs)).collect()} == {i: find(i) for i in every}
+
+
 def test_degrees_sum_to_twice_the_edges(spark):
     n, e = nodes(spark, "a", "b", "c"), edges(spark, ("a", "b"), ("a", "b"), ("a", "a"))
     assert {r.id: r.degree for r in measure.degrees(n, e).collect()} == {"a": 4, "b": 2, "c": 0}

@@ -308,7 +308,7 @@ def dedup_by_label(spark, d):
 
 
 @query(
-    "WITH w AS (SELECT 'customer_' || c_custkey AS id, first_value('customer_' || c_custkey) OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY length('customer_' || c_custkey), c_custkey) AS winner FROM customer) SELECT 'orders_' || o_orderkey AS source, winner AS target FROM orders JOIN w ON id = 'customer_' || o_custkey"
+    "WITH w AS (SELECT 'customer_' || c_custkey AS id, first_value('customer_' || c_custkey) OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY length('customer_' || c_custkey), c_custkey) AS winner FROM customer) SELECT 'orders_' || o_orderkey AS source, winner AS target FROM orders JOIN w ON id = 'customer_' || o_custkey UNION ALL SELECT 'orders_' || l_orderkey, 'part_' || l_partkey FROM lineitem"
 )
 def dedup_rewrites_edges(spark, d):
     nodes = T.read(spark, d, "customer").select(F.concat(F.lit("customer_"), "c_custkey").alias("id"), F.concat_ws(" ", "c_mktsegment", "c_nationkey").alias("label"), F.lit("Segment").alias("sf_type"))
