@@ -33,7 +33,7 @@ LOOSE = r" (?:[\s\v\x1c-\x1f\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{
 #: Characters that are neither letters, digits, white space nor the start of a contraction.
 MARKS = ".,;:!?*&%$#|()-\""
 #: Distinct pre-tokens whose tokens a worker remembers.
-MEMORY = 400_000
+MEMORY = 150_000
 
 
 @lru_cache(1)
@@ -52,11 +52,12 @@ class Codec:
     """Encoder and decoder of one vocabulary file."""
 
     def __init__(self, path: str) -> None:
-        self.model = Tokenizer.from_file(path).model
+        tokenizer = Tokenizer.from_file(path)
+        self.model = tokenizer.model
         self.to_chars = {b: c for b, c in enumerate(byte_chars())}
         self.ascii = str.maketrans({chr(b): c for b, c in self.to_chars.items() if b < 128})
         back = {c: b for b, c in self.to_chars.items()}
-        vocab = Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
+        vocab = tokenizer.get_vocab(with_added_tokens=False)
         self.bytes = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.bytes[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -86,6 +88,28 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: workers are kept between tasks, and beside the executor's heap it counts."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def tidied(fn: Callable) -> Callable:
+    """``fn`` over a partition's batches, tidied up after."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            tidy()
+
+    return run
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch | pa.Table]], schema, by: str | None = "text") -> DataFrame:
     """``mapInArrow`` over slices of at most ``SLICE_BYTES`` of column ``by`` (a longer row is a slice of its own)."""
 
@@ -96,7 +120,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
                     yield from out.to_batches() if isinstance(out, pa.Table) else (out,)
 
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 def slices(batch: pa.RecordBatch, by: str | None) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import arrow_map, discard, fresh, hash_words, list_array, materialise, mix, normal_words, shuffle_cleanup, slices, small
+from weftgraph.llm.common import arrow_map, discard, fresh, hash_words, list_array, materialise, mix, normal_words, shuffle_cleanup, slices, small, tidied
 from weftgraph.llm.components import components
 from weftgraph.session import ship
 
@@ -120,7 +120,7 @@ def _index_rows(docs: DataFrame, n: int, ranges: int) -> DataFrame:
                     names=["bucket", "uid", "a", "b"],
                 )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def _count_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +267,7 @@ def _links(keys: DataFrame, parts: int) -> DataFrame:
         for i in range(0, len(pair), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(pair[i : i + 100_000, 0]), pa.array(pair[i : i + 100_000, 1])], names=["src", "dst"])
 
-    return keys.repartition(parts, "key").mapInArrow(run, "src long, dst long")
+    return keys.repartition(parts, "key").mapInArrow(tidied(run), "src long, dst long")
 
 
 def _verify(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
@@ -343,8 +343,8 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, blo
     parts = max(4, math.ceil(letters / 6 / 4 / range_grams))
     with shuffle_cleanup(spark):
         index = _index_rows(src, n, ranges)
-        counted = materialise(index.repartitionById(ranges, F.expr(f"if(bucket < 0, cast(pmod(uid, {ranges}) as int), bucket)")).mapInArrow(_count_range, "uid long, bucket int, a binary, b binary, c binary"))
-        prefix = materialise(counted.repartition(max(4, ranges), "uid").mapInArrow(lambda it: _prefixes(it, t), PREFIX))
+        counted = materialise(index.repartitionById(ranges, F.expr(f"if(bucket < 0, cast(pmod(uid, {ranges}) as int), bucket)")).mapInArrow(tidied(_count_range), "uid long, bucket int, a binary, b binary, c binary"))
+        prefix = materialise(counted.repartition(max(4, ranges), "uid").mapInArrow(tidied(lambda it: _prefixes(it, t)), PREFIX))
         discard(counted)
         links = materialise(_links(_keys(prefix, boundary(prefix)), parts).distinct())
         discard(prefix)
@@ -381,7 +381,7 @@ def _join_stars(src: DataFrame, stars: DataFrame, n: int, t: float, block_grams:
         .withColumn("bj", F.greatest("block", "other"))
         .select("comp", "bi", "bj", "block", "doc_id", "grams")
     )
-    found = placed.repartition(parts, "comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj").mapInArrow(lambda it: _verify(it, t), "doc_a long, doc_b long, jaccard double")
+    found = placed.repartition(parts, "comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj").mapInArrow(tidied(lambda it: _verify(it, t)), "doc_a long, doc_b long, jaccard double")
     return found.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
