@@ -86,6 +86,27 @@ def test_near_pairs_recall_and_exact_cosines(spark):
     assert all(abs(cos[k] - c) < 1e-9 for k, c in got.items())
 
 
+def test_near_pairs_recall_at_the_scale_of_millions(spark, monkeypatch):
+    scale = lattice.scale_for(3_000_000)
+    monkeypatch.setattr(lattice, "scale_for", lambda n: scale)
+    rng = np.random.default_rng(10)
+    x, y = rng.normal(size=(2, 500, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    y -= (x * y).sum(1)[:, None] * x
+    y /= np.sqrt((y * y).sum(1))[:, None]
+    cos = rng.uniform(0.9, 0.905, (500, 1))
+    every = np.vstack([x, cos * x + np.sqrt(1 - cos**2) * y]).astype(np.float32).astype(float)
+    unit = every / np.sqrt((every**2).sum(1))[:, None]
+    want = {(i, j) for i, j in zip(*np.where(np.triu(unit @ unit.T, 1) >= lattice.THRESHOLD), strict=True)}
+    got = {(r.vec_a, r.vec_b) for r in lattice.near_pairs(frame(spark, list(enumerate(every)))).collect()}
+    assert len(want) > 450 and got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_tables_follow_the_scale():
+    counts = [lattice.tables_for(lattice.scale_for(n), 64, lattice.THRESHOLD, lattice.PROBES) for n in (2_000, 300_000, 3_000_000, 10_000_000)]
+    assert counts[0] == lattice.TABLES and counts == sorted(counts) and counts[3] > counts[2] > 2 * lattice.TABLES
+
+
 def test_near_pairs_of_the_given_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = [(r.vec_id, np.array(r.embedding, float)) for r in df.collect()]

@@ -5,16 +5,20 @@ result to the nearest point of the lattice E8 (the nearer of its two cosets of D
 cell, and looks into the ``PROBES`` nearest of that cell and its 240 neighbours, by distance from its own projection. Those
 found are compared by 64 signs of random projections and, if no more than ``SIGNS_APART`` differ (true pairs at the
 threshold differ in 9 on average, with deviation 2.8), by their exact cosine. The scale follows the number of
-vectors, so that the strangers one meets in a cell don't grow with it.
+vectors, so that the strangers one meets in a cell don't grow with it; a pair then shares a table less often, and
+the number of tables follows the scale: ``tables_for`` draws pairs at the threshold, counts how many meet in
+one table, and takes as many tables (``TABLES`` at least) as find ``RECALL`` of them. More than ``TABLES`` are
+worked through that many at a time, so hashes on disk don't grow with their number.
 
 All rows are stored and all probe; nothing is capped. Search is approximate: at the default threshold, recall
-against brute force is tested to be 0.9 at least. Defined cases: rows with a null vec_id or vector, or a null or non-finite
+against brute force is tested to be 0.9 at least, at the scale of few vectors and of millions. Defined cases: rows with a null vec_id or vector, or a null or non-finite
 coordinate, a zero vector and those of an uncommon length are left out; rows that repeat a vec_id count as one;
 equal vectors have cosine 1; an empty table gives no pairs; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations, product
 
 import numpy as np
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import arrow_map, list_array, materialise, mix, small
+from weftgraph.llm.common import arrow_map, discard, list_array, materialise, mix, small
 from weftgraph.llm.topk import usable
 
 THRESHOLD = 0.9
@@ -31,6 +35,8 @@ PROBES = 24
 SIGNS_APART = 22
 #: Strangers in a cell, about.
 STRANGERS = 4.0
+#: Pairs at the threshold that the tables together find; above the promised 0.9 by what drawing may be off.
+RECALL = 0.93
 SEED = 8
 
 
@@ -82,28 +88,79 @@ def tables(dim: int, count: int = TABLES, seed: int = SEED) -> tuple[list[np.nda
     return [np.linalg.qr(rng.normal(size=(wide, 8)))[0][:dim] * np.sqrt(dim / 8) for _ in range(count)], rng.normal(size=(dim, 64))
 
 
-def keys(x: np.ndarray, projections: list[np.ndarray], scale: float, probes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Own key (n, tables) and probed keys (n, tables, probes) of unit vectors."""
+def tables_for(scale: float, dim: int, threshold: float, probes: int, least: int = TABLES, enough: int = 1000, batch: int = 500) -> int:
+    """Tables, ``least`` or more, that find ``RECALL`` of pairs at ``threshold``.
+
+    Directions are random, so a table finds each such pair with the same probability, whatever the others found. It is
+    counted over drawn pairs until ``enough`` have met, each batch in a table of its own.
+    """
+    rng = np.random.default_rng(SEED)
+    near = min(max(threshold, 0.0), 1.0)
+    met = drawn = 0
+    while met < enough:
+        x, y = rng.normal(size=(2, batch, dim))
+        x /= np.sqrt((x * x).sum(1))[:, None]
+        if dim > 1:
+            y -= (x * y).sum(1)[:, None] * x
+            y /= np.sqrt((y * y).sum(1))[:, None]
+            y = near * x + np.sqrt(1 - near * near) * y
+        else:
+            y = x
+        projection = tables(dim, 1, SEED + 1 + drawn)[0]
+        (a, to_a), (b, to_b) = (keys(v, projection, scale, probes) for v in (x, y))
+        met += int(((a[:, :, None] == to_b).any((1, 2)) | (b[:, :, None] == to_a).any((1, 2))).sum())
+        drawn += batch
+    if met == drawn:
+        return least
+    return max(least, int(np.ceil(np.log(1 - RECALL) / np.log(1 - met / drawn))))
+
+
+def keys(x: np.ndarray, projections: list[np.ndarray], scale: float, probes: int, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Own key (n, tables) and probed keys (n, tables, probes) of unit vectors; ``first`` is the number of the first table."""
     near = roots()
     own = np.zeros((len(x), len(projections)), np.uint64)
     probed = np.zeros((len(x), len(projections), probes), np.uint64)
     for t, p in enumerate(projections):
         y = scale * (x @ p)
         c = nearest_e8(y)
-        own[:, t] = cell_keys(c, t)
+        own[:, t] = cell_keys(c, first + t)
         # |y - (c + r)|^2 = |y - c|^2 - 2 (y - c).r + 2: the largest products are the nearest neighbours
         best = np.argsort(-((y - c) @ near.T), 1, kind="stable")[:, : probes - 1]
         probed[:, t, 0] = own[:, t]
-        probed[:, t, 1:] = cell_keys(c[:, None, :] + near[best], t)
+        probed[:, t, 1:] = cell_keys(c[:, None, :] + near[best], first + t)
     return own, probed
 
 
 def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, count: int = TABLES, probes: int = PROBES) -> DataFrame:
-    """(vec_a, vec_b, cosine) with vec_a < vec_b and cosine at ``threshold`` or above."""
+    """(vec_a, vec_b, cosine) with vec_a < vec_b and cosine at ``threshold`` or above; ``count`` tables or more."""
     rows = materialise(usable(vectors).where(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x) > 0))
     top = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    projections, signs = tables(top.d or 8, count)
     scale = scale_for(top.n)
+    count = tables_for(scale, top.d or 8, threshold, probes, count)
+    projections, signs = tables(top.d or 8, count)
+    if count <= TABLES:
+        met = candidates(rows, projections, signs, scale, probes, 0)[0].distinct()
+    else:
+        groups = []
+        for first in range(0, count, TABLES):
+            found, hashed = candidates(rows, projections[first : first + TABLES], signs, scale, probes, first)
+            groups.append(materialise(found.distinct()))
+            discard(hashed)
+        met = reduce(DataFrame.unionAll, groups).distinct()
+    # each vector's length comes along, so a product gives the cosine
+    unit = rows.select("id", F.transform("v", lambda x: x / F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, y: a + y * y))).alias("v"))
+    unit = materialise(unit)
+    first, second = (small(unit.select(F.col("id").alias(f"_{c}"), F.col("v").alias(f"v{c}")), 8 * (top.d or 8) + 32) for c in "ab")
+    return (
+        met.join(first, F.col("vec_a") == F.col("_a"))
+        .join(second, F.col("vec_b") == F.col("_b"))
+        .select("vec_a", "vec_b", F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x).alias("cosine"))
+        .where(F.col("cosine") >= threshold)
+    )
+
+
+def candidates(rows: DataFrame, projections: list[np.ndarray], signs: np.ndarray, scale: float, probes: int, first: int) -> tuple[DataFrame, DataFrame]:
+    """(vec_a, vec_b) that meet in one of the tables and have similar signs, repeated; and the hashes they are read from."""
     held = rows.sparkSession.sparkContext.broadcast((projections, signs))
 
     def run(batch: pa.RecordBatch):
@@ -113,7 +170,7 @@ def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, count: int = TA
             return
         x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
         x = x / np.sqrt((x * x).sum(1))[:, None]
-        own, probed = keys(x, projections, scale, probes)
+        own, probed = keys(x, projections, scale, probes, first)
         sketch = np.packbits(x @ signs > 0, axis=1).view(np.int64).ravel()
         yield pa.RecordBatch.from_arrays(
             [
@@ -132,15 +189,5 @@ def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, count: int = TA
         probe.join(stored, "cell")
         .where((F.col("a") != F.col("b")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= SIGNS_APART))
         .select(F.least("a", "b").alias("vec_a"), F.greatest("a", "b").alias("vec_b"))
-        .distinct()
-    )
-    # each vector's length comes along, so a product gives the cosine
-    unit = rows.select("id", F.transform("v", lambda x: x / F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, y: a + y * y))).alias("v"))
-    unit = materialise(unit)
-    first, second = (small(unit.select(F.col("id").alias(f"_{c}"), F.col("v").alias(f"v{c}")), 8 * (top.d or 8) + 32) for c in "ab")
-    return (
-        met.join(first, F.col("vec_a") == F.col("_a"))
-        .join(second, F.col("vec_b") == F.col("_b"))
-        .select("vec_a", "vec_b", F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x).alias("cosine"))
-        .where(F.col("cosine") >= threshold)
     )
+    return met, hashed
