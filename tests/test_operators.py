@@ -104,6 +104,16 @@ def test_communities_split_and_number_by_size(spark):
     assert {got[f"a{i}"] for i in range(6)} == {0} and {got[f"b{i}"] for i in range(5)} == {1} and got["lone"] == 2
 
 
+def test_communities_by_joins_are_those_of_one_task(spark):
+    from pyspark.sql import functions as F
+
+    clique = lambda p, n: [(f"{p}{i}", f"{p}{j}") for i in range(n) for j in range(i)]
+    e = edges(spark, *clique("a", 5), *clique("b", 4), *clique("c", 4), ("a0", "b0"), ("b1", "c1"))
+    pairs = communities.undirected(e).select(F.lit("p").alias("part"), "a", "b", (F.col("weight") * communities.UNIT).cast("long").alias("w"))
+    one, joins = ({r.id: r.lead for r in communities.partition(pairs, most).collect()} for most in (1000, 20))
+    assert one == joins and one == {x: f"{x[0]}0" for x in one}
+
+
 def test_validation_reports_faults(spark):
     n = nodes(spark, "a")
     e = edges(spark, ("a", "zz")).union(conform(spark.createDataFrame([("a", None, "calls", "MAYBE", 9)], "source string, target string, relation string, confidence string, ord long"), EDGE))
