@@ -114,6 +114,18 @@ def test_communities_by_joins_are_those_of_one_task(spark):
     assert one == joins and one == {x: f"{x[0]}0" for x in one}
 
 
+def test_loose_communities_are_split(spark, monkeypatch):
+    """Beside large cliques a ring of small ones is one community, of 100 nodes and cohesion 0.044; by itself it falls into its cliques."""
+    clique = lambda p, n: [(f"{p}_{i}", f"{p}_{j}") for i in range(n) for j in range(i)]
+    ring = [p for k in range(20) for p in clique(f"r{k:02}", 5)] + [(f"r{k:02}_0", f"r{(k + 1) % 20:02}_1") for k in range(20)]
+    pairs = ring + [p for k in range(12) for p in clique(f"z{k:02}", 60)] + [(f"z{k:02}_0", f"z{k + 1:02}_0") for k in range(11)] + [("r00_0", "z00_0")]
+    e, n = edges(spark, *pairs), nodes(spark, *sorted({x for p in pairs for x in p}))
+    sizes = lambda: [r["count"] for r in communities.communities(n, e).where("id like 'r%'").groupBy("community").count().collect()]
+    assert max(sizes()) < 50
+    monkeypatch.setattr(communities, "LOOSE_SIZE", 101)
+    assert max(sizes()) == 100
+
+
 def test_validation_reports_faults(spark):
     n = nodes(spark, "a")
     e = edges(spark, ("a", "zz")).union(conform(spark.createDataFrame([("a", None, "calls", "MAYBE", 9)], "source string, target string, relation string, confidence string, ord long"), EDGE))
