@@ -96,6 +96,13 @@ def test_betweenness_of_a_chain(spark):
     assert got == {"a": 0.0, "b": 0.5, "c": 0.0}
 
 
+def test_betweenness_by_joins_is_that_of_workers(spark):
+    n = nodes(spark, "a", "b", "c", "d", "e", "f", "lone")
+    e = edges(spark, ("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("e", "a"), ("d", "f"), ("f", "f"), ("f", "outside"))
+    want = {r.id: r.betweenness for r in communities.betweenness(n, e).collect()}
+    assert {r.id: r.betweenness for r in communities.betweenness(n, e, most_edges=3).collect()} == pytest.approx(want, abs=2e-9) and want["d"] > want["b"] > 0
+
+
 def test_communities_split_and_number_by_size(spark):
     clique = lambda p, n: [(f"{p}{i}", f"{p}{j}") for i in range(n) for j in range(i)]
     e = edges(spark, *clique("a", 6), *clique("b", 5), ("a0", "b0"))
