@@ -121,6 +121,19 @@ def test_communities_by_joins_are_those_of_one_task(spark):
     assert one == joins and one == {x: f"{x[0]}0" for x in one}
 
 
+def test_bridge_questions_are_of_nodes_that_touch_another_community(spark):
+    n, e = nodes(spark, "a", "b", "c", "d", "e"), edges(spark, ("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"))
+    members = spark.createDataFrame([("a", 0), ("b", 0), ("c", 0), ("d", 1), ("e", 1)], "id string, community int")
+    got = analyse.questions(n, e, members, communities.betweenness(n, e)).collect()
+    assert [r.question for r in got if r.kind == "bridge"] == ["Why do so many paths lead through c?"]
+
+
+def test_suggested_questions_start_with_a_bridge(spark):
+    from weftgraph.plans import graph_queries
+
+    assert graph_queries.suggested_questions(spark, "/root/testdata/sf0.001").first().kind == "bridge"
+
+
 def test_loose_communities_are_split(spark, monkeypatch):
     """Beside large cliques a ring of small ones is one community, of 100 nodes and cohesion 0.044; by itself it falls into its cliques."""
     clique = lambda p, n: [(f"{p}_{i}", f"{p}_{j}") for i in range(n) for j in range(i)]

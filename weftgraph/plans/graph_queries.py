@@ -263,7 +263,7 @@ def low_cohesion(spark, d):
 @query()
 def suggested_questions(spark, d):
     nodes, edges = graph(spark, d)
-    return analyse.questions(nodes, edges, by_nation(spark, d))
+    return analyse.questions(nodes, edges, by_nation(spark, d), communities.betweenness(nodes, edges))
 
 
 @query(f"WITH {E}, f AS (SELECT source, confidence, count(*) AS n, min(ord) AS o FROM edges GROUP BY 1, 2) SELECT source, arg_max(confidence, (n, -o, confidence)) AS confidence FROM f GROUP BY 1")

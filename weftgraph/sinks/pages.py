@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import file_name, slug
-from weftgraph.operators import analyse, measure
+from weftgraph.operators import analyse, communities, measure
 from weftgraph.plans.pipeline import Graph
 from weftgraph.sinks.lines import graphml, mermaid_id
 
@@ -262,5 +262,5 @@ def report(graph: Graph, root: str, files: int | None = None, commit: str | None
     lone = shown.where((F.col("degree") <= 1) & ~measure.concept()).agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("label")), 1, 5).alias("some")).first()
     if lone.n or n_thin:
         out += ["", "## Knowledge Gaps", f"- **{lone.n} isolated node(s):** {', '.join(f'`{x}`' for x in lone.some)}", f"- **{n_thin} thin communities (<{thin} nodes) omitted**"]
-    out += ["", "## Suggested Questions", *[f"- **{r.question}**" for r in analyse.questions(g.nodes, g.edges, g.members).collect()]]
+    out += ["", "## Suggested Questions", *[f"- **{r.question}**" for r in analyse.questions(g.nodes, g.edges, g.members, communities.betweenness(g.nodes, g.edges)).collect()]]
     return "\n".join(out) + "\n"
