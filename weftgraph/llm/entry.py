@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftgraph.llm import bpe, jaccard, langid, lattice, markov, mixing, pii, sharding, topk, toxicity
 from weftgraph.llm.common import table
@@ -21,7 +22,7 @@ def op2_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_k(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % topk.EVERY == 0)
 
 
 def op4_mix_fair_queue(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,38 +1,42 @@
 """Exact top-k by dot product with the threshold algorithm over sorted per-dimension lists.
 
 Vectors are cut into blocks. Each block keeps, for every dimension, its rows sorted by that coordinate. A query walks
-all lists at once from the end that its own coordinate's sign prefers (sorted access), scores each new row in full
-(random access), and bounds every unseen row by the sum over dimensions of its coordinate times the last value seen.
-It stops once the bound is below its k-th best. Random access to a row costs some ten times a row of a matrix product, so
-queries whose lists are still open when ``OPEN`` of a block's rows may have been seen take the rest of the block together
-in one product, which is what walking the lists to their ends comes to. Every row is a query; its own vec_id is no
-result of it.
+all lists at once from the end that its own coordinate's sign prefers (sorted access, the depth doubling), scores each
+new row in full (random access), and bounds every unseen row by the sum over dimensions of its coordinate times the
+last value seen. It stops once the bound is below its k-th best, or when no row is unseen. New rows are scored
+together in single precision; those that may be among the best are scored again, each by itself, in double precision.
+
+Every row stands in a block; queries are the rows that ``queries`` says, all without it; a query's own vec_id is no
+result of it. The grid of blocks and batches of queries is the plan: a row travels once for each batch, a query once for each block.
 
 Scores are rounded to nine digits and equal ones ordered by vec_id. Defined cases: rows with a null vec_id or vector,
 or a null or non-finite coordinate, are neither queries nor results; zero vectors score 0 with all; equal vectors tie; rows
 that repeat a vec_id count as one (the first by coordinates); fewer than k others give all; vectors of
-another length than the most common (the shorter on a tie) are left out; other columns are ignored.
+another length than the most common (the shorter on a tie) are left out; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import materialise
+from weftgraph.llm.common import materialise, tidied
 from weftgraph.session import ship
 
 K = 10
-BLOCK_ROWS = 16_384
-QUERY_ROWS = 16_384
-#: The share of a block's rows after which the lists are walked to their ends at once.
-OPEN = 1 / 16
-#: Queries in one product.
-TOGETHER = 128
+#: Rows and queries of one task at most, about; with few rows, blocks are as many as cores, of ``LEAST_ROWS`` at least.
+BLOCK_ROWS = 65_536
+QUERY_ROWS = 65_536
+LEAST_ROWS = 4_096
+#: Every so manieth row is a query of the registered query.
+EVERY = 20
+#: Depth of the first sorted access; each further one doubles it.
+START = 16
 DIGITS = 9
 
 
@@ -41,55 +45,48 @@ class Lists:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], np.ascontiguousarray(x[order])
+        self.ids, self.x = ids[order], np.ascontiguousarray(x[order], float)
+        self.single = self.x.astype(np.float32)
+        self.longest = float(np.sqrt((self.x * self.x).sum(1).max())) if len(ids) else 0.0
         self.order = np.ascontiguousarray(np.argsort(self.x, 0, kind="stable").T)
 
     def scores(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Rounded dot products, each row summed by itself, so equal rows tie exactly."""
         return np.round((self.x[rows] * q).sum(1), DIGITS)
 
-    def walk(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int, bool]:
-        """Row numbers and scores of the best k for ``q`` so far, how deep the lists were read, and whether that is all."""
+    def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """Row numbers and scores of the best k for ``q``, how deep its lists were read, and how many rows were scored."""
         n = len(self.ids)
         live = np.flatnonzero(q)
-        seen = np.zeros(n, bool)
+        high, low = live[q[live] > 0], live[q[live] < 0]
+        single, slack = q.astype(np.float32), 1e-5 * (1 + self.longest * float(np.sqrt((q * q).sum())))
+        seen, done = np.zeros(n, bool), np.zeros(n, bool)
         mine = np.searchsorted(self.ids, own)
+        left = n
         if mine < n and self.ids[mine] == own:
-            seen[mine] = True
+            seen[mine] = done[mine] = True
+            left -= 1
+        if not len(live):  # all score alike
+            seen[:] = True
         rows, score = np.zeros(0, np.int64), np.zeros(0)
-        depth, step = 0, 2
-        up = q[live] > 0
-        while depth < n and len(live):
-            to = min(n, depth + step)
-            new = np.concatenate([self.order[live[up], n - to : n - depth].ravel(), self.order[live[~up], depth:to].ravel()])
-            new = np.unique(new[~seen[new]])
-            seen[new] = True
+        depth, scored = 0, 0
+        while depth < n and left:
+            to = min(n, max(START, 2 * depth))
+            seen[self.order[high, n - to : n - depth]] = True
+            seen[self.order[low, depth:to]] = True
+            depth = to
+            new = np.flatnonzero(seen > done)
+            done[new] = True
+            left -= len(new)
+            scored += len(new)
+            rough = self.single[new] @ single
+            least = score[-1] if len(score) == k else np.partition(rough, len(rough) - k)[len(rough) - k] if len(rough) > k else -math.inf
+            new = new[rough >= least - slack]
             rows, score = self._best(np.append(rows, new), np.append(score, self.scores(new, q)), k)
-            last = np.where(up, n - to, to - 1)
-            bound = float((q[live] * self.x[self.order[live, last], live]).sum()) + 1e-9
-            depth, step = to, step * 2
-            if len(score) == k and bound < score[-1]:
-                return rows, score, depth, True
-            if depth * len(live) > n * OPEN:
+            bound = float((q[high] * self.x[self.order[high, n - to], high]).sum() + (q[low] * self.x[self.order[low, to - 1], low]).sum())
+            if len(score) == k and bound + 2e-9 < score[-1]:
                 break
-        return rows, score, depth, False
-
-    def search(self, queries: np.ndarray, owns: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
-        """Row numbers and scores of the best k for each query, and how deep its lists were read."""
-        out = [self.walk(q, own, k) for q, own in zip(queries, owns, strict=True)]
-        still = [j for j, o in enumerate(out) if not o[3]]
-        for i in range(0, len(still), TOGETHER):
-            some = still[i : i + TOGETHER]
-            # a product finds what may matter; what it keeps is scored again, row by row
-            rough = queries[some] @ self.x.T
-            for j, near in zip(some, rough, strict=True):
-                mine = np.searchsorted(self.ids, owns[j])
-                if mine < len(self.ids) and self.ids[mine] == owns[j]:
-                    near[mine] = -math.inf
-                cut = np.partition(near, len(near) - k)[len(near) - k] if len(near) > k else -math.inf
-                rows = np.flatnonzero((near >= cut - 1e-6) & (near > -math.inf))
-                out[j] = (*self._best(rows, self.scores(rows, queries[j]), k), len(self.ids), True)
-        return [o[:3] for o in out]
+        return rows, score, depth, scored
 
     def _best(self, rows: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((self.ids[rows], -score))[:k]
@@ -97,47 +94,46 @@ class Lists:
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(id, v): one row an id, vectors of the commonest length whose coordinates are all finite."""
-    ok = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    """(id, v): one row an id, vectors of the commonest length whose coordinates are all finite, as doubles or, if they are such, floats."""
+    kind = "array<float>" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
+    ok = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     length = ok.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return ok.where(F.size("v") == (length.n if length else 0)).groupBy("id").agg(F.min("v").alias("v"))
 
 
-def _cut(rows: DataFrame, name: str, per: int) -> tuple[DataFrame, int]:
-    n = max(1, math.ceil(rows.count() / per))
-    return rows.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")), n
-
-
-def top_k(vectors: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """(vec_id, rank, neighbour_id, score): the k largest dot products of every vector with others."""
-    ship(vectors.sparkSession)
-    rows = materialise(usable(vectors))
-    blocks, nb = _cut(rows, "block", block_rows)
-    batches, nq = _cut(rows, "batch", query_rows)
-
-    def run(own: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(own):
-            lists = Lists(own["id"].to_numpy(), np.stack(own["v"].to_numpy()))
-            owns = queries["id"].to_numpy()
-            if len(owns):
-                for q, (rows_, score, _) in zip(owns, lists.search(np.stack(queries["v"].to_numpy()), owns, k), strict=True):
-                    out.append((np.full(len(rows_), q), lists.ids[rows_], score))
-        if not out:
-            return pd.DataFrame({"vec_id": np.zeros(0, np.int64), "neighbour_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        return pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("vec_id", "neighbour_id", "score"))})
-
-    # the grid of blocks and batches: a row travels once for each batch, and once for each block
-    left = blocks.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).select("block", "batch", "id", "v")
-    right = batches.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))).select("block", "batch", "id", "v")
-    found = left.groupBy("block", "batch").cogroup(right.groupBy("block", "batch")).applyInPandas(run, "vec_id long, neighbour_id long, score double")
+def top_k(vectors: DataFrame, k: int = K, queries: Column | None = None, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """(vec_id, rank, neighbour_id, score): the k largest dot products of every vector, or those that ``queries`` (over ``vec_id``) says, with others."""
+    spark = ship(vectors.sparkSession)
+    rows = materialise(usable(vectors).withColumnRenamed("id", "vec_id"))
+    asked = rows if queries is None else rows.where(queries)
+    n, m = rows.count(), asked.count()
+    nb = max(math.ceil(n / block_rows), min(spark.sparkContext.defaultParallelism, math.ceil(n / LEAST_ROWS)), 1)
+    nq = max(math.ceil(m / query_rows), 1)
+    left = rows.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).select((F.pmod(F.xxhash64("vec_id"), F.lit(nb)) * nq + F.col("batch")).cast("int").alias("at"), F.lit(False).alias("asks"), "vec_id", "v")
+    right = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))).select((F.col("block") * nq + F.pmod(F.xxhash64("vec_id"), F.lit(nq))).cast("int").alias("at"), F.lit(True).alias("asks"), "vec_id", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        asks, ids = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in got]) for c in ("asks", "vec_id"))
+        x = np.concatenate([b.column("v").flatten().to_numpy(zero_copy_only=False) for b in got]).reshape(len(ids), -1)
+        del got
+        if asks.all() or not asks.any():
+            return
+        lists, mine = Lists(ids[~asks], x[~asks]), np.flatnonzero(asks)
+        for i in range(0, len(mine), 1000):
+            out = [(at, *lists.search(x[at].astype(float), ids[at], k)[:2]) for at in mine[i : i + 1000]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[[o[0] for o in out]], [len(o[1]) for o in out])), pa.array(lists.ids[np.concatenate([o[1] for o in out])]), pa.array(np.concatenate([o[2] for o in out]))], names=["vec_id", "neighbour_id", "score"])
+
+    found = left.unionAll(right).repartitionById(nb * nq, "at").mapInArrow(tidied(run), "vec_id long, neighbour_id long, score double")
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "neighbour_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("vec_id", "rank", "neighbour_id", "score")
 
 
-def sql(k: int = K) -> str:
+def sql(k: int = K, every: int = EVERY) -> str:
     return f"""
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-s AS (SELECT a.vec_id, b.vec_id AS neighbour_id, round(list_dot_product(a.e, b.e), {DIGITS}) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+s AS (SELECT a.vec_id, b.vec_id AS neighbour_id, round(list_dot_product(a.e, b.e), {DIGITS}) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % {every} = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbour_id) AS INTEGER) AS rank FROM s)
 SELECT vec_id, rank, neighbour_id, score FROM r WHERE rank <= {k}"""
