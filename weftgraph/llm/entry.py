@@ -30,7 +30,7 @@ def op4_mix_fair_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_embeddings_e8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice.near_pairs(table(spark, sf_dir, "embeddings"))
+    return lattice.linked(table(spark, sf_dir, "embeddings"))
 
 
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,24 +1,32 @@
 """Near-duplicate embeddings by lattice hashing with E8.
 
-Each of ``TABLES`` tables projects unit vectors on eight random orthonormal directions, scales them, and decodes the
+Each of several tables projects unit vectors on eight random orthonormal directions, scales them, and decodes the
 result to the nearest point of the lattice E8 (the nearer of its two cosets of D8). A vector is stored under its own
-cell, and looks into the ``PROBES`` nearest of that cell and its 240 neighbours, by distance from its own projection. Those
-found are compared by 64 signs of random projections and, if no more than ``SIGNS_APART`` differ (true pairs at the
-threshold differ in 9 on average, with deviation 2.8), by their exact cosine. The scale follows the number of
-vectors, so that the strangers one meets in a cell don't grow with it; a pair then shares a table less often, and
-the number of tables follows the scale: ``tables_for`` draws pairs at the threshold, counts how many meet in
-one table, and takes as many tables (``TABLES`` at least) as find ``RECALL`` of them. More than ``TABLES`` are
+cell, and looks into the ``PROBES`` nearest of that cell and its 240 neighbours, by distance from its own projection.
+
+The scale follows the number of vectors, so that the strangers stored in a cell don't grow with it; a pair then shares
+a table less often, and the number of tables follows: ``tables_for`` draws pairs at the threshold, counts how many
+meet in one table, and takes as many tables (``TABLES`` at least) as find ``RECALL`` of them. More than ``TOGETHER`` are
 worked through that many at a time, so hashes on disk don't grow with their number.
 
-All rows are stored and all probe; nothing is capped. Search is approximate: at the default threshold, recall
-against brute force is tested to be 0.9 at least, at the scale of few vectors and of millions. Defined cases: rows with a null vec_id or vector, or a null or non-finite
-coordinate, a zero vector and those of an uncommon length are left out; rows that repeat a vec_id count as one;
-equal vectors have cosine 1; an empty table gives no pairs; other columns are ignored.
+Vectors that meet in a cell are compared by 64 signs of random projections: those that differ in no more than
+``signs_apart`` (3.5 deviations above what pairs at the threshold differ in) are joined, and each component of a cell is a
+star of its lowest id. A cell in which more than ``HOT`` look is never brought together: it is one star, whose lowest id is
+aggregated and joined back. ``stars`` then compares all pairs within a star by their exact cosine, block by block, and
+counts links, a row a vector and block. Equal vectors are copies: one stands for all of them and they aren't compared.
+
+All rows are stored and all probe; nothing is capped. Search is approximate: recall against brute force is tested to be 0.9
+at least, at several thresholds, at the scale of few vectors and of millions.
+
+The result has one row a vec_id: ``class_id`` (the lowest vec_id of those that links connect it with, its own without
+any), ``links`` (the number of vectors at ``threshold`` or above that were found, copies among them) and ``best_cosine``
+(the highest of these, null without any). Defined cases: a vec_id whose vector is null, has a null or non-finite
+coordinate, is zero or of an uncommon length has no links; rows with a null vec_id are left out; rows that repeat a vec_id
+count as one (the least usable vector); equal vectors have cosine 1; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations, product
 
 import numpy as np
@@ -26,17 +34,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import arrow_map, discard, list_array, materialise, mix, small
+from weftgraph.llm import stars
+from weftgraph.llm.common import arrow_map, discard, list_array, materialise, mix, shuffle_cleanup, small, tidied
 from weftgraph.llm.topk import usable
 
 THRESHOLD = 0.9
-TABLES = 8
-PROBES = 24
-SIGNS_APART = 22
-#: Strangers in a cell, about.
-STRANGERS = 4.0
+#: Tables at least, and tables hashed at a time.
+TABLES = 3
+TOGETHER = 8
+PROBES = 8
+#: Strangers stored in a cell, about.
+STRANGERS = 512.0
+#: Vectors looking into a cell beyond which it isn't brought together in one task.
+HOT = 50_000
+#: Rows of cells in one task, and members of a star in one block, about.
+PART_ROWS = 2_000_000
+BLOCK_MEMBERS = 8_192
 #: Pairs at the threshold that the tables together find; above the promised 0.9 by what drawing may be off.
-RECALL = 0.93
+RECALL = 0.95
 SEED = 8
 
 
@@ -77,8 +92,8 @@ def cell_keys(points: np.ndarray, salt: int) -> np.ndarray:
 
 
 def scale_for(n: int) -> float:
-    """Projections' scale at which a cell of n random unit vectors holds about ``STRANGERS``; never below 2."""
-    return max(2.0, float(np.sqrt(8 * (max(n, 1) / STRANGERS) ** 0.25 / (4 * np.pi))))
+    """Projections' scale at which a cell of n random unit vectors holds about ``STRANGERS``; never below 1.2."""
+    return max(1.2, float(np.sqrt(8 * (max(n, 1) / STRANGERS) ** 0.25 / (4 * np.pi))))
 
 
 def tables(dim: int, count: int = TABLES, seed: int = SEED) -> tuple[list[np.ndarray], np.ndarray]:
@@ -131,63 +146,133 @@ def keys(x: np.ndarray, projections: list[np.ndarray], scale: float, probes: int
     return own, probed
 
 
-def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, count: int = TABLES, probes: int = PROBES) -> DataFrame:
-    """(vec_a, vec_b, cosine) with vec_a < vec_b and cosine at ``threshold`` or above; ``count`` tables or more."""
-    rows = materialise(usable(vectors).where(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x) > 0))
-    top = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    scale = scale_for(top.n)
-    count = tables_for(scale, top.d or 8, threshold, probes, count)
-    projections, signs = tables(top.d or 8, count)
-    if count <= TABLES:
-        met = candidates(rows, projections, signs, scale, probes, 0)[0].distinct()
-    else:
-        groups = []
-        for first in range(0, count, TABLES):
-            found, hashed = candidates(rows, projections[first : first + TABLES], signs, scale, probes, first)
-            groups.append(materialise(found.distinct()))
-            discard(hashed)
-        met = reduce(DataFrame.unionAll, groups).distinct()
-    # each vector's length comes along, so a product gives the cosine
-    unit = rows.select("id", F.transform("v", lambda x: x / F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, y: a + y * y))).alias("v"))
-    unit = materialise(unit)
-    first, second = (small(unit.select(F.col("id").alias(f"_{c}"), F.col("v").alias(f"v{c}")), 8 * (top.d or 8) + 32) for c in "ab")
-    return (
-        met.join(first, F.col("vec_a") == F.col("_a"))
-        .join(second, F.col("vec_b") == F.col("_b"))
-        .select("vec_a", "vec_b", F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x).alias("cosine"))
-        .where(F.col("cosine") >= threshold)
-    )
-
-
-def candidates(rows: DataFrame, projections: list[np.ndarray], signs: np.ndarray, scale: float, probes: int, first: int) -> tuple[DataFrame, DataFrame]:
-    """(vec_a, vec_b) that meet in one of the tables and have similar signs, repeated; and the hashes they are read from."""
-    held = rows.sparkSession.sparkContext.broadcast((projections, signs))
+def signs_apart(threshold: float) -> int:
+    """Signs of 64 in which a pair at the threshold differs at most, but for one in some thousands."""
+    p = float(np.arccos(np.clip(threshold, -1, 1)) / np.pi)
+    return int(np.ceil(64 * p + 3.5 * np.sqrt(64 * p * (1 - p))))
+
+
+def linked(vectors: DataFrame, threshold: float = THRESHOLD, count: int = TABLES, probes: int = PROBES, hot: int = HOT, block_members: int = BLOCK_MEMBERS) -> DataFrame:
+    """(vec_id, class_id, links, best_cosine), a row a vec_id; ``count`` tables or more."""
+    with shuffle_cleanup(vectors.sparkSession):
+        rows = materialise(usable(vectors).where(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x) > 0))
+        hashed = rows.select("id", F.xxhash64("v").alias("h"), F.hash("v").alias("g"))
+        equal = hashed.groupBy("h", "g").agg(F.min("id").alias("node"), F.count("*").alias("copies")).where("copies > 1").select(F.col("h").alias("_h"), F.col("g").alias("_g"), "node", "copies")
+        copies = materialise(hashed.join(small(materialise(equal), 40), (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g"))).select(F.col("id").alias("_id"), "node", "copies"))
+        nodes = rows.join(small(copies.where("_id <> node"), 24), F.col("id") == F.col("_id"), "left_anti")
+        top = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+        dim, scale = top.d or 8, scale_for(top.n)
+        links = materialise(candidates(nodes, dim, tables_for(scale, dim, threshold, probes, count), scale, probes, signs_apart(threshold), hot, top.n))
+        outer = stars.outer_stars(links).join(small(copies.where("_id = node"), 24), F.col("id") == F.col("_id"), "left").select("id", "comps", F.coalesce("copies", F.lit(1)).alias("copies"))
+        held = materialise(outer)
+        discard(links)
+        members = nodes.select(F.col("id").alias("_id"), F.col("v").alias("payload")).join(stars.sized(held), F.col("id") == F.col("_id")).select("id", "comps", "copies", "payload")
+        weight = held.select(F.explode("comps").alias("comp"), F.lit(1).alias("weight"))
+        blocks = stars.placed(members, weight, block_members)
+        sums, comp = stars.classes(stars.verified(blocks, lambda block: compare(block, threshold), lambda v: v.values.to_numpy(), max(8, -(-top.n // 20_000))))
+        facts = copies.select("_id", "node", "copies").join(sums.withColumnRenamed("id", "_s"), F.col("node") == F.col("_s"), "full")
+        facts = facts.select(F.coalesce("_id", "_s").alias("_id"), F.coalesce("node", "_s").alias("node"), (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.when(F.col("copies") > 1, 1.0).otherwise(F.col("best")).alias("best_cosine"))
+        facts = materialise(facts.join(comp.withColumnRenamed("id", "_c"), F.col("node") == F.col("_c"), "left").select("_id", F.coalesce("comp", "node").alias("class_id"), "links", "best_cosine"))
+    ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).where("vec_id is not null").distinct()
+    return ids.join(small(facts, 48), F.col("vec_id") == F.col("_id"), "left").select("vec_id", F.coalesce("class_id", "vec_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), "best_cosine")
+
+
+def compare(block: stars.Block, t: float, step: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links, best cosine and root of each member of a block of vectors."""
+    x = np.stack(block.payload).astype(float)
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    m, before, copies = len(x), block.table(), block.copies
+    links, best, label = np.zeros(m, np.int64), np.full(m, -np.inf), np.arange(m)
+    for i in range(0, m, step):
+        sim = x[i : i + step] @ x[i:].T
+        ok = (sim >= t) & (np.arange(m - i) > np.arange(len(sim))[:, None])
+        if block.cross:
+            ok &= block.first[i : i + step, None] != block.first[None, i:]
+        a, b = np.nonzero(ok)
+        if not len(a):
+            continue
+        sim[~ok] = -np.inf
+        best[i : i + step] = np.maximum(best[i : i + step], sim.max(1))
+        best[i:] = np.maximum(best[i:], sim.max(0))
+        label = stars.merge(label, a + i, b + i)
+        if before is not None:
+            ok &= before[i : i + step] @ before[i:].T == 0
+        links[i : i + step] += ok @ copies[i:]
+        links[i:] += copies[i : i + step] @ ok
+    return links, np.minimum(best, 1.0), np.where(best > -np.inf, label, -1)
+
+
+def candidates(nodes: DataFrame, dim: int, count: int, scale: float, probes: int, apart: int, hot: int, n: int) -> DataFrame:
+    """Stars ``(src, dst)`` of vectors that meet in one of ``count`` tables and have similar signs."""
+    projections, signs = tables(dim, count)
+    found = []
+    for first in range(0, count, TOGETHER):
+        some = projections[first : first + TOGETHER]
+        hashed = materialise(_hashed(nodes, some, signs, scale, probes, first))
+        cells = hashed.select("id", "sketch", F.posexplode("probed").alias("pos", "cell")).select("id", "sketch", "cell", (F.col("pos") % probes == 0).alias("stored"))
+        parts = max(8, -(-n * len(some) * probes // PART_ROWS))
+        # those that look into a cell are stored in it or in one of its 240 neighbours
+        if cells.where("stored").groupBy("cell").count().where(F.col("count") > hot // 241).isEmpty():
+            met = _met(cells, parts, apart)
+        else:
+            crowded = materialise(cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("id").alias("src")).where(F.col("n") > hot).select(F.col("cell").alias("_cell"), "src"))
+            inside = F.col("cell") == F.col("_cell")
+            met = _met(cells.join(small(crowded, 24), inside, "left_anti"), parts, apart).unionAll(cells.join(small(crowded, 24), inside).select("src", F.col("id").alias("dst")).where("src <> dst"))
+        found.append(materialise(met.distinct()))
+        discard(hashed)
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionAll(more)
+    return every.distinct()
+
+
+def _hashed(nodes: DataFrame, projections: list[np.ndarray], signs: np.ndarray, scale: float, probes: int, first: int) -> DataFrame:
+    """(id, sketch, probed): of each table the vector's own cell and its nearest neighbours."""
+    held = nodes.sparkSession.sparkContext.broadcast((projections, signs))
 
     def run(batch: pa.RecordBatch):
         projections, signs = held.value
         ids = batch.column("id").to_numpy()
         if not len(ids):
             return
-        x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-        x = x / np.sqrt((x * x).sum(1))[:, None]
-        own, probed = keys(x, projections, scale, probes, first)
+        x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(float)
+        x /= np.sqrt((x * x).sum(1))[:, None]
+        _, probed = keys(x, projections, scale, probes, first)
         sketch = np.packbits(x @ signs > 0, axis=1).view(np.int64).ravel()
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids),
-                pa.array(sketch),
-                list_array(np.arange(len(ids) + 1) * own.shape[1], pa.array(own.ravel().view(np.int64))),
-                list_array(np.arange(len(ids) + 1) * probed[0].size, pa.array(probed.ravel().view(np.int64))),
-            ],
-            names=["id", "sketch", "own", "probed"],
-        )
-
-    hashed = materialise(arrow_map(rows, run, "id long, sketch long, own array<long>, probed array<long>", by=None))
-    stored = hashed.select(F.col("id").alias("b"), F.col("sketch").alias("sb"), F.explode("own").alias("cell"))
-    probe = hashed.select(F.col("id").alias("a"), F.col("sketch").alias("sa"), F.explode("probed").alias("cell"))
-    met = (
-        probe.join(stored, "cell")
-        .where((F.col("a") != F.col("b")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= SIGNS_APART))
-        .select(F.least("a", "b").alias("vec_a"), F.greatest("a", "b").alias("vec_b"))
-    )
-    return met, hashed
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sketch), list_array(np.arange(len(ids) + 1) * probed[0].size, pa.array(probed.ravel().view(np.int64)))], names=["id", "sketch", "probed"])
+
+    return arrow_map(nodes, run, "id long, sketch long, probed array<long>", by=None)
+
+
+def _met(cells: DataFrame, parts: int, apart: int) -> DataFrame:
+    """Stars of the cells: in each, the components of vectors with similar signs, one of which is stored there."""
+
+    def run(batches):
+        got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+        if not got:
+            return
+        ids, sketch, cell, stored = (np.concatenate([g[k] for g in got]) for k in range(4))
+        del got
+        order = np.lexsort((ids, cell))
+        ids, sketch, cell, stored = ids[order], sketch[order].view(np.uint64), cell[order], stored[order]
+        cut = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        held = np.add.reduceat(stored.astype(np.int64), cut)
+        ends = np.append(cut[1:], len(cell))
+        out: list[np.ndarray] = []
+        for k in np.flatnonzero((held > 0) & (ends - cut > 1)):
+            at = slice(cut[k], ends[k])
+            mine, own = ids[at], sketch[at]
+            there = np.flatnonzero(stored[at])
+            label = np.arange(len(mine))
+            step = max(1, (1 << 20) // len(there))
+            for i in range(0, len(mine), step):
+                a, b = np.nonzero(np.bitwise_count(own[i : i + step, None] ^ own[there]) <= apart)
+                label = stars.merge(label, a + i, there[b])
+            some = np.flatnonzero(label != np.arange(len(mine)))
+            if len(some):
+                out.append(np.stack([mine[label[some]], mine[some]], 1))
+        for i in range(0, len(out), 1000):
+            pair = np.unique(np.concatenate(out[i : i + 1000]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["src", "dst"])
+
+    return cells.repartition(parts, "cell").mapInArrow(tidied(run), "src long, dst long")
