@@ -15,18 +15,31 @@ def grams(text, n=jaccard.N):
 
 
 def brute(rows, n=jaccard.N, t=jaccard.THRESHOLD):
-    sets = [(r[0], grams(r[1], n)) for r in rows if r[0] is not None and r[1] is not None]
-    out = {}
-    for i, (a, x) in enumerate(sets):
-        for b, y in sets[i + 1 :]:
-            if a != b and (x or y) and (j := len(x & y) / len(x | y)) >= t:
-                k = (min(a, b), max(a, b))
-                out[k] = max(out.get(k, 0), j)
-    return {k: round(v, 9) for k, v in out.items()}
+    """(doc_id, class_id, links, best_jaccard) of each row."""
+    sets = [grams(r[1], n) if r[0] is not None and r[1] is not None else set() for r in rows]
+    links, best, root = [0] * len(rows), [None] * len(rows), list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for k in range(i + 1, len(sets)):
+            if x and sets[k] and (j := len(x & sets[k]) / len(x | sets[k])) >= t:
+                for m in (i, k):
+                    links[m] += 1
+                    best[m] = max(best[m] or 0, j)
+                root[find(k)] = find(i)
+    low = {}
+    for k, r in enumerate(rows):
+        if r[0] is not None:
+            low[find(k)] = min(low.get(find(k), r[0]), r[0])
+    return sorted(((r[0], low.get(find(k)), links[k], best[k] and round(best[k], 9)) for k, r in enumerate(rows)), key=str)
 
 
 def got(df, **how):
-    return {(r.doc_a, r.doc_b): round(r.jaccard, 9) for r in jaccard.similar_pairs(df, **how).collect()}
+    return sorted(((r.doc_id, r.class_id, r.links, r.best_jaccard and round(r.best_jaccard, 9)) for r in jaccard.linked(df, **how).collect()), key=str)
 
 
 def sample(seed=5, n=90):
@@ -46,32 +59,50 @@ def sample(seed=5, n=90):
     return rows
 
 
-def test_every_pair_of_a_mixed_corpus(table_of):
+def test_every_link_of_a_mixed_corpus(table_of):
     rows = sample()
     want = brute(rows)
-    assert len(want) > 50 and got(table_of(rows)) == want
+    assert sum(r[2] for r in want) > 100 and got(table_of(rows)) == want
 
 
-def test_any_boundary_and_any_blocks_give_the_same(table_of, monkeypatch):
+def test_any_boundary_and_any_blocks_and_hot_lists_give_the_same(table_of, monkeypatch):
     rows = sample(8, 60)
     want = brute(rows)
     df = table_of(rows)
-    assert got(df, block_grams=50, range_grams=100) == want
+    assert got(df, block_grams=50, range_grams=100) == want == got(df, hot=2)
     for light in (0, 10, 10**9):
         monkeypatch.setattr(jaccard, "boundary", lambda prefix, light=light: light)
-        assert got(df) == want
+        assert got(df, hot=3 if light == 10 else jaccard.HOT) == want
     assert got(df, threshold=0.8) == brute(rows, t=0.8)
 
 
+def test_copies_count_and_are_not_compared(table_of, monkeypatch):
+    a, b = "a b c d e f g h i j", "a b c d e f g h i k"
+    rows = [*[(k, a) for k in range(30, 60)], *[(k, b.upper() + " ,") for k in range(5)], (70, "z y x w")]
+    seen = []
+    monkeypatch.setattr(jaccard.stars, "verified", lambda blocks, *rest, real=jaccard.stars.verified: seen.append(blocks.count()) or real(blocks, *rest))
+    assert got(table_of(rows)) == brute(rows) and seen == [2]
+    assert {r[1:3] for r in brute(rows)} == {(0, 34), (70, 0)}
+
+
 def test_hard_rows(table_of, spark):
     df = table_of(HARD)
-    assert got(df) == brute([r[:2] for r in HARD]) == {(3, 4): 1.0}
-    assert jaccard.similar_pairs(spark.createDataFrame([], DOCS)).isEmpty()
+    assert got(df) == brute([r[:2] for r in HARD])
+    assert [r for r in got(df) if r[2]] == [(3, 3, 2, 1.0), (3, 3, 2, 1.0), (4, 3, 2, 1.0)]
+    assert jaccard.linked(spark.createDataFrame([], DOCS)).isEmpty()
     kept = jaccard.keep_one(df)
     assert kept.columns == df.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r[0]) for r in HARD if r[0] != 4)
 
 
+def test_rows_of_one_doc_id_are_documents_of_their_own(table_of):
+    rows = [(1, "a b c d e f g h"), (1, "s t u v w x y z"), (2, "s t u v w x y z"), (1, "a b c d e f g h"), (0, "a b c d e f g i"), (3, "s t u v w x y k")]
+    df = table_of(rows)
+    assert got(df) == brute(rows)
+    # 1 is the first of the class of its second text, so its rows stay
+    assert sorted(r.doc_id for r in jaccard.keep_one(df).collect()) == [0, 1, 1, 1]
+
+
 def test_keep_one_of_each_group(table_of):
     text = "a b c d e f g h i j k l m n o p".split()
     rows = [(k, " ".join([*text[:k], f"z{k}", *text[k:]])) for k in range(6)] + [(50, "entirely different words here now")]
@@ -83,6 +114,15 @@ def test_real_documents(docs):
     assert got(docs) == brute(rows)
 
 
+def test_both_kinds_of_sets_occur(spark, monkeypatch):
+    """On the tables of sf0.1 the boundary leaves light and heavy sets, and light ones make subsets."""
+    kept = []
+    monkeypatch.setattr(jaccard, "candidates", lambda prefix, parts, real=jaccard.candidates: kept.append((b := jaccard.boundary(prefix), prefix.where(f"size <= {b} and two = 1 and size(grams) > 1").count(), prefix.where(f"size > {b}").count())) or real(prefix, parts))
+    jaccard.linked(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    (light_to, light, heavy), *_ = kept
+    assert light_to > 0 and light > 0 and heavy > 0, kept
+
+
 @given(st.lists(st.sets(st.integers(0, 12)), max_size=8))
 @settings(max_examples=60, deadline=None)
 def test_needed_overlap_bounds_the_prefix(sets):

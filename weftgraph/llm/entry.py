@@ -47,7 +47,7 @@ def op8_secrets_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar_pairs(table(spark, sf_dir, "documents"))
+    return jaccard.linked(table(spark, sf_dir, "documents"))
 
 
 def op10_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,13 +80,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 WORDS = r"list_filter([regexp_replace(w, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g') FOR w IN regexp_split_to_array(lower(text), '[ \t\n\r\f\v]+')], lambda w: w <> '')"
 
 JACCARD_SQL = rf"""
-WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-g AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= {jaccard.N} THEN [array_to_string(ws[i:i+{jaccard.N - 1}], ' ') FOR i IN range(1, len(ws) - {jaccard.N - 2})]
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, CASE WHEN doc_id IS NOT NULL AND text IS NOT NULL THEN {WORDS} ELSE [] END AS ws FROM documents),
+g AS MATERIALIZED (SELECT r, doc_id, list_distinct(CASE WHEN len(ws) >= {jaccard.N} THEN [array_to_string(ws[i:i+{jaccard.N - 1}], ' ') FOR i IN range(1, len(ws) - {jaccard.N - 2})]
                                  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ') || chr(10)] ELSE [] END) AS gs FROM w),
-p AS (SELECT doc_id, len(gs) AS n, unnest(gs) AS gram FROM g),
-c AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, a.n AS na, b.n AS nb, count(*) AS common_grams
-      FROM p a JOIN p b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, CAST(common_grams AS DOUBLE) / (na + nb - common_grams) AS jaccard FROM c WHERE common_grams >= {jaccard.THRESHOLD} * (na + nb - common_grams)"""
+p AS MATERIALIZED (SELECT r, len(gs) AS n, unnest(gs) AS gram FROM g),
+c AS (SELECT a.r AS ra, b.r AS rb, a.n AS na, b.n AS nb, count(*) AS common_grams
+      FROM p a JOIN p b ON a.gram = b.gram AND a.r <> b.r GROUP BY ALL),
+e AS MATERIALIZED (SELECT ra, rb, CAST(common_grams AS DOUBLE) / (na + nb - common_grams) AS jaccard FROM c WHERE common_grams >= {jaccard.THRESHOLD} * (na + nb - common_grams)),
+reach AS (SELECT r, doc_id AS c FROM g UNION SELECT e.rb, reach.c FROM reach JOIN e ON e.ra = reach.r),
+low AS (SELECT r, min(c) AS class_id FROM reach GROUP BY r),
+sums AS (SELECT ra, count(*) AS links, max(jaccard) AS best FROM e GROUP BY ra)
+SELECT g.doc_id, low.class_id, coalesce(sums.links, 0) AS links, sums.best AS best_jaccard
+FROM g JOIN low USING (r) LEFT JOIN sums ON sums.ra = g.r"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,24 +1,30 @@
 """Exact self-join of documents on the Jaccard similarity of their word n-gram sets, light and heavy sets apart.
 
 A word is a run of non-white-space characters, lower-cased and without outer punctuation; a document's set holds
-the distinct n-grams of its words (a shorter document has one gram, all its words). A pair joins when
+the distinct n-grams of its words (a shorter document has one gram, all its words). Two documents are linked when
 ``|A & B| / |A | B| >= t``. Sets are ordered by (number of documents with the gram, hash), rarest first.
 
 1. Inverted index. Grams go, packed, to ``P`` ranges of the hash; each range counts its grams' documents. Grams of
    one document never join anything: only their number is used, as they come first in the order.
-2. A pair with the needed overlap shares ``l`` grams within the ``|x| - ceil(t|x|) + l`` rarest of both sides.
+2. Documents with one and the same set are copies: one of them stands for all from here on, so copies are never compared.
+3. A pair with the needed overlap shares ``l`` grams within the ``|x| - ceil(t|x|) + l`` rarest of both sides.
    *Light* (small) sets enumerate the 2-subsets of that prefix for ``l = 2`` and meet on equal subsets; *heavy*
    (large) sets scan the inverted lists of the prefix for ``l = 1``, against all sets. The boundary between them is the
-   size at which subsets to enumerate plus list entries to scan are fewest, from sums by size over the whole table. A
-   scan costs an entry a gram, whatever the list's length, since step 3 links a list instead of enumerating its pairs.
-3. Sets that meet are linked to the first of their list, which takes as many links as the list is long: every pair to
-   be found lies within the star of one such first set. Stars that lie within another are left out.
-4. Each star's sets are brought together and every pair in it is counted against its sizes, exactly, by scanning the
-   members' grams; a star too large for one task is cut into blocks and joined block by block.
-
-Nothing is sampled or capped. Defined cases: documents without words, or a null text or doc_id, join nothing; rows
-that repeat a doc_id don't pair with each other, and such an id takes the best of its rows' similarities; identical
-texts have similarity 1; an empty table gives no pairs; other columns are ignored.
+   size at which the subsets and entries that light sets write plus the lengths of the lists that heavy sets scan are
+   least, from sums by size over the whole table.
+4. Sets that meet are linked to the first of their list, which takes as many links as the list is long: every pair to
+   be found lies within the star of one such first set. The list of a gram of more than ``HOT`` documents is never
+   brought together; its first set is aggregated and joined back.
+5. ``stars`` compares every pair within a star exactly, in blocks, and counts links, a row a set and block.
+
+Nothing is sampled or capped. The result has one row a row of the table: its doc_id, ``class_id`` (the lowest doc_id of the
+documents that links connect it with, its own without any), ``links`` (the number of other rows that it is linked
+with, copies among them) and ``best_jaccard`` (the highest similarity among these, null without any).
+
+Defined cases: a row without words, or with a null text or doc_id, has no links and its own doc_id as its class; rows
+that repeat a doc_id are documents of their own, linked like others; identical texts have similarity 1; very long
+texts are whole sets as any other; an empty table gives no rows; other columns are ignored. Sets are told apart by
+64-bit hashes, as grams are.
 """
 
 from __future__ import annotations
@@ -32,8 +38,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm import stars
 from weftgraph.llm.common import arrow_map, discard, fresh, hash_words, list_array, materialise, mix, normal_words, shuffle_cleanup, slices, small, tidied
-from weftgraph.llm.components import components
 from weftgraph.session import ship
 
 N = 3
@@ -41,7 +47,8 @@ THRESHOLD = 0.5
 #: Grams in one range of the inverted index, and in one block of a star, about.
 RANGE_GRAMS = 1_000_000
 BLOCK_GRAMS = 2_000_000
-ROW = np.uint64(0xFFFF)
+#: Documents of a gram beyond which its list isn't brought together in one task.
+HOT = 100_000
 
 
 def gram_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,6 +76,12 @@ def gram_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(doc, np.arange(len(length) + 1)), gram
 
 
+def set_hash(bounds: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each set, the same in any order."""
+    upto = np.append(np.uint64(0), np.cumsum(mix(gram * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x51))))
+    return mix(upto[bounds[1:]] - upto[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64)
+
+
 def needed(size: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(np.round(t * size, 9)).astype(np.int64)
 
@@ -94,8 +107,8 @@ def _ranges(gram: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def _index_rows(docs: DataFrame, n: int, ranges: int) -> DataFrame:
-    """Packed grams by range (``bucket >= 0``), and a header by batch (``bucket = -1``) with its doc_ids and set sizes."""
-    schema = "bucket int, uid long, a binary, b binary"
+    """Packed grams by range (``bucket >= 0``), and a header by batch (``bucket = -1``) with its doc_ids, set sizes and set hashes."""
+    schema = "bucket int, uid long, a binary, b binary, c binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k = TaskContext.get().partitionId(), 0
@@ -116,8 +129,9 @@ def _index_rows(docs: DataFrame, n: int, ranges: int) -> DataFrame:
                         pa.array(np.full(len(cut) + 1, uid, np.int64)),
                         pa.array([_bytes(doc[i:j]) for i, j in zip(cut, ends, strict=True)] + [_bytes(ids.astype(np.int64))], pa.binary()),
                         pa.array([_bytes(low[i:j]) for i, j in zip(cut, ends, strict=True)] + [_bytes(np.diff(bounds).astype(np.int32))], pa.binary()),
+                        pa.array([b""] * len(cut) + [_bytes(set_hash(bounds, gram))], pa.binary()),
                     ],
-                    names=["bucket", "uid", "a", "b"],
+                    names=["bucket", "uid", "a", "b", "c"],
                 )
 
     return docs.mapInArrow(tidied(run), schema)
@@ -128,9 +142,9 @@ def _count_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     uids, docs, grams, headers = [], [], [], []
     bucket = -1
     for batch in batches:
-        for b, uid, a, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for b, uid, a, h, c in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if b < 0:
-                headers.append((uid, a, h))
+                headers.append((uid, -1, a, h, c))
                 continue
             bucket = b
             docs.append(np.frombuffer(a, np.uint16))
@@ -139,7 +153,7 @@ def _count_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["uid", "bucket", "a", "b", "c"]
     kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     if headers:
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*[(u, -1, a, h, b"") for u, a, h in headers], strict=True), kinds, strict=True)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*headers, strict=True), kinds, strict=True)], names=names)
     if not docs:
         return
     gram, doc = np.concatenate(grams), np.concatenate(docs)
@@ -158,8 +172,8 @@ def _count_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 512], strict=True), kinds, strict=True)], names=names)
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
-    """One batch of documents after another: those with a shared gram in their prefix, and these grams, rarest first."""
+def _prefixes(batches: Iterator[pa.RecordBatch], t: float, hot: int) -> Iterator[pa.RecordBatch]:
+    """One batch of documents after another: a row each, with the shared grams of its prefix, rarest first."""
     held: dict[int, list] = {}
     for batch in batches:
         for uid, bucket, a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
@@ -167,14 +181,12 @@ def _prefixes(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.Record
     for uid in list(held):
         rows = held.pop(uid)
         head = next(r for r in rows if r[0] < 0)
-        ids, size = np.frombuffer(head[1], np.int64), np.frombuffer(head[2], np.int32).astype(np.int64)
+        ids, size, node = np.frombuffer(head[1], np.int64), np.frombuffer(head[2], np.int32).astype(np.int64), np.frombuffer(head[3], np.int64)
         rows = [r for r in rows if r[0] >= 0]
-        if not rows:
-            continue
-        doc = np.concatenate([np.frombuffer(r[1], np.uint16) for r in rows]).astype(np.int64)
-        low = np.concatenate([_wide(r[2]) for r in rows])
+        doc = np.concatenate([np.frombuffer(r[1], np.uint16) for r in rows] or [np.zeros(0, np.uint16)]).astype(np.int64)
+        low = np.concatenate([_wide(r[2]) for r in rows] or [np.zeros(0, np.uint64)])
         gram = mix(low + np.repeat(np.array([r[0] for r in rows], np.uint64), [len(r[1]) // 2 for r in rows]) * np.uint64(1 << 40))
-        df = np.concatenate([np.frombuffer(r[3], np.int32) for r in rows])
+        df = np.concatenate([np.frombuffer(r[3], np.int32) for r in rows] or [np.zeros(0, np.int32)]).astype(np.int64)
         shared = np.bincount(doc, minlength=len(ids))
         # l = 2 wherever every partner must share two grams; the grams of one document come first in the order
         need = needed(size, t)
@@ -183,34 +195,36 @@ def _prefixes(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.Record
         doc, gram, df = doc[alive], gram[alive], df[alive]
         order = np.lexsort((gram, df, doc))
         doc, gram, df = doc[order], gram[order], df[order]
-        first = np.searchsorted(doc, doc, "left")
-        keep = np.arange(len(doc)) - first < room[doc]
+        keep = np.arange(len(doc)) - np.searchsorted(doc, doc, "left") < room[doc]
         doc, gram, df = doc[keep], gram[keep], df[keep]
-        which, start = np.unique(doc, return_index=True)
-        bounds = np.append(start, len(doc))
-        k = np.diff(bounds).astype(np.int64)
+        bounds = np.searchsorted(doc, np.arange(len(ids) + 1))
+        k = np.diff(bounds)
         # what one more shared gram (l = 1) leaves
-        one = np.where(need[which] > 1, np.minimum(k, room[which] - 1), k)
+        one = np.where(need > 1, np.minimum(k, np.maximum(room - 1, 0)), k)
+        scans = np.append(0, np.cumsum(df))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(ids[which]),
-                pa.array(size[which].astype(np.int32)),
-                pa.array((need[which] > 1).astype(np.int32)),
+                pa.array(ids),
+                pa.array(node, mask=k == 0),
+                pa.array(size.astype(np.int32)),
+                pa.array((need > 1).astype(np.int32)),
                 pa.array(one.astype(np.int32)),
-                pa.array(k * (k - 1) / 2.0),
-                pa.array(one.astype(np.float64)),
+                pa.array(np.bincount(doc[df > hot], minlength=len(ids)).astype(np.int32)),
+                pa.array(k * (k - 1) / 2.0 + one),
+                pa.array((scans[bounds[:-1] + one] - scans[bounds[:-1]]).astype(np.float64)),
                 list_array(bounds, pa.array(gram.view(np.int64))),
             ],
-            names=["doc_id", "size", "two", "one", "subsets", "entries", "grams"],
+            names=["doc_id", "node", "size", "two", "one", "hot", "light", "heavy", "grams"],
         )
 
 
-PREFIX = "doc_id long, size int, two int, one int, subsets double, entries double, grams array<long>"
+#: ``hot`` of the grams, the last, are of more than ``HOT`` documents; ``light`` and ``heavy`` are the costs as one or the other.
+PREFIX = "doc_id long, node long, size int, two int, one int, hot int, light double, heavy double, grams array<long>"
 
 
 def boundary(prefix: DataFrame) -> int:
-    """The largest size of a light set: where subsets enumerated plus list entries scanned are fewest."""
-    rows = prefix.groupBy("size").agg(F.sum(F.expr("if(two = 1, subsets, 0)")).alias("light"), F.sum("entries").alias("heavy")).groupBy(F.expr("cast(log2(size) * 8 as int)").alias("bin")).agg(F.max("size").alias("size"), F.sum("light").alias("light"), F.sum("heavy").alias("heavy")).orderBy("bin").collect()
+    """The largest size of a light set: where what light sets write and the lists that heavy sets scan are least."""
+    rows = prefix.where("two = 1").groupBy("size").agg(F.sum("light").alias("light"), F.sum("heavy").alias("heavy")).groupBy(F.expr("cast(log2(size) * 8 as int)").alias("bin")).agg(F.max("size").alias("size"), F.sum("light").alias("light"), F.sum("heavy").alias("heavy")).orderBy("bin").collect()
     best, cost, at = sum(r.heavy for r in rows), sum(r.heavy for r in rows), 0
     for r in rows:
         cost += r.light - r.heavy
@@ -220,35 +234,38 @@ def boundary(prefix: DataFrame) -> int:
 
 
 def _keys(prefix: DataFrame, light: int) -> DataFrame:
-    """``key``, ``doc_id`` and whether it may start a list: subsets of light sets, single grams of all."""
+    """``key``, ``node``, whether it may start a list, and whether the list is hot: subsets of light sets, single grams of all."""
 
     def run(batch: pa.RecordBatch):
-        ids = batch.column("doc_id").to_numpy()
-        size, two, one = (batch.column(c).to_numpy() for c in ("size", "two", "one"))
+        ids = batch.column("node").to_numpy()
+        size, two, one, hot = (batch.column(c).to_numpy() for c in ("size", "two", "one", "hot"))
         bounds = batch.column("grams").offsets.to_numpy()
         gram = batch.column("grams").values.to_numpy().view(np.uint64)
         small_set = (size <= light) & (two == 1)
-        key, doc, lead = [], [], []
+        key, doc, lead, warm = [], [], [], []
         for k in range(len(ids)):
             own = gram[bounds[k] : bounds[k + 1]]
+            cool = len(own) - hot[k]
             single = own[: one[k]]
             key.append(single)
             lead.append(np.full(len(single), not small_set[k]))
             doc.append(np.full(len(single), ids[k]))
+            warm.append(np.arange(len(single)) >= cool)
             if small_set[k] and len(own) > 1:
                 i, j = np.triu_indices(len(own), 1)
                 lo, hi = np.minimum(own[i], own[j]), np.maximum(own[i], own[j])
                 key.append(mix(lo * np.uint64(0x9E3779B97F4A7C15) ^ mix(hi)))
                 lead.append(np.ones(len(i), bool))
                 doc.append(np.full(len(i), ids[k]))
+                warm.append(i >= cool)
         if key:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(lead))], names=["key", "doc_id", "lead"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(lead)), pa.array(np.concatenate(warm))], names=["key", "node", "lead", "hot"])
 
-    return arrow_map(prefix, run, "key long, doc_id long, lead boolean", by=None)
+    return arrow_map(prefix, run, "key long, node long, lead boolean, hot boolean", by=None)
 
 
 def _links(keys: DataFrame, parts: int) -> DataFrame:
-    """Of each list with a set that may start it (a heavy set, or any of a subset): links from its first document to the rest."""
+    """Of each list with a set that may start it (a heavy set, or any of a subset): links from its first set to the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
@@ -270,42 +287,31 @@ def _links(keys: DataFrame, parts: int) -> DataFrame:
     return keys.repartition(parts, "key").mapInArrow(tidied(run), "src long, dst long")
 
 
-def _verify(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
-    """Rows (comp, bi, bj, block, doc_id, grams) sorted by star and block pair: all its pairs at ``t`` or above."""
-    held: list[tuple] = []
-    now = None
+def _hot_links(keys: DataFrame) -> DataFrame:
+    """The same of lists that are too long for one task: their first sets are aggregated, and joined back."""
+    first = keys.groupBy("key").agg(F.min("node").alias("src"), F.max("lead").alias("led")).where("led").select(F.col("key").alias("_key"), "src")
+    return keys.join(small(materialise(first), 32), F.col("key") == F.col("_key")).select("src", F.col("node").alias("dst")).where("src <> dst")
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        yield from _pairs(held, now[2] != now[3], now[2], t)
 
-    for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("comp", "bi", "bj", "block", "doc_id")]
-        grams = batch.column("grams")
-        for k in range(batch.num_rows):
-            at = (0, cols[0][k], cols[1][k], cols[2][k])
-            if at != now:
-                if held:
-                    yield from flush()
-                held, now = [], at
-            held.append((cols[4][k], cols[3][k], np.frombuffer(grams[k].as_py(), np.uint64)))
-    if held:
-        yield from flush()
-
-
-def _pairs(held: list[tuple], cross: bool, first: int, t: float) -> Iterator[pa.RecordBatch]:
-    if len(held) < 2:
-        return
-    held = sorted(held, key=lambda r: (len(r[2]), r[0]))
-    ids = np.array([r[0] for r in held])
-    side = np.array([r[1] == first for r in held])
-    size = np.array([len(r[2]) for r in held])
-    every = np.concatenate([r[2] for r in held])
-    _, code = np.unique(every, return_inverse=True)
+def candidates(prefix: DataFrame, parts: int) -> DataFrame:
+    """Stars ``(src, dst)`` of the sets of ``prefix``, one row a set."""
+    keys = _keys(prefix, boundary(prefix))
+    found = _links(keys.where("not hot").drop("hot"), parts)
+    if not prefix.where("hot > 0").isEmpty():
+        found = found.unionAll(_hot_links(keys.where("hot").drop("hot")))
+    return found.distinct()
+
+
+def compare(block: stars.Block, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links, best similarity and root of each member of a block of sets."""
+    order = np.lexsort((block.ids, [len(p) for p in block.payload]))
+    size = np.array([len(block.payload[k]) for k in order])
+    _, code = np.unique(np.concatenate([block.payload[k] for k in order]), return_inverse=True)
     bounds = np.append(0, np.cumsum(size))
-    mark = np.zeros(code.max() + 1, np.int32)
-    out: list[np.ndarray] = []
-    sims: list[np.ndarray] = []
-    for k in range(len(held) - 1):
+    mark = np.zeros(code.max() + 1 if len(code) else 0, np.int32)
+    side, copies = block.first[order], block.copies
+    links, best, label = np.zeros(len(order), np.int64), np.zeros(len(order)), np.arange(len(order))
+    for k in range(len(order) - 1):
         upto = int(np.searchsorted(size, size[k] / t + 1e-9, "right"))
         if upto <= k + 1:
             continue
@@ -314,81 +320,76 @@ def _pairs(held: list[tuple], cross: bool, first: int, t: float) -> Iterator[pa.
         both = np.add.reduceat(mark[code[bounds[k + 1] : bounds[upto]]], bounds[k + 1 : upto] - bounds[k + 1])
         mark[own] = 0
         sim = both / (size[k] + size[k + 1 : upto] - both)
-        ok = (sim >= t - 1e-12) & (ids[k + 1 : upto] != ids[k])
-        if cross:
+        ok = sim >= t - 1e-12
+        if block.cross:
             ok &= side[k + 1 : upto] != side[k]
-        if ok.any():
-            other = ids[k + 1 : upto][ok]
-            out.append(np.stack([np.minimum(other, ids[k]), np.maximum(other, ids[k])], 1))
-            sims.append(sim[ok])
-        if len(out) and sum(map(len, sims[-200:])) > 200_000 or len(out) > 4000:
-            yield _pair_batch(out, sims)
-            out, sims = [], []
-    if out:
-        yield _pair_batch(out, sims)
-
-
-def _pair_batch(out: list[np.ndarray], sims: list[np.ndarray]) -> pa.RecordBatch:
-    pair = np.concatenate(out)
-    return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(np.concatenate(sims))], names=["doc_a", "doc_b", "jaccard"])
-
-
-def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, block_grams: int = BLOCK_GRAMS, range_grams: int = RANGE_GRAMS) -> DataFrame:
-    """All pairs ``doc_a < doc_b`` with their Jaccard similarity, at ``threshold`` or above."""
+        at = np.flatnonzero(ok)
+        if not len(at):
+            continue
+        me, others, sim = order[k], order[k + 1 + at], sim[at]
+        best[me] = max(best[me], sim.max())
+        best[others] = np.maximum(best[others], sim)
+        label = stars.merge(label, np.full(len(others), me), others)
+        others = others[~block.counted_before(me, others)]
+        links[me] += copies[others].sum()
+        links[others] += copies[me]
+    return links, best, np.where(best > 0, label, -1)
+
+
+def linked(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, block_grams: int = BLOCK_GRAMS, range_grams: int = RANGE_GRAMS, hot: int = HOT) -> DataFrame:
+    """(doc_id, class_id, links, best_jaccard), a row a row of ``docs``; links are pairs of similarity ``threshold`` or above."""
     t = threshold
     spark = ship(docs.sparkSession)
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    src = every.where("doc_id is not null and text is not null")
     letters = src.agg(F.sum(F.length("text"))).first()[0] or 0
     ranges = max(1, math.ceil(letters / 6 / range_grams))
     parts = max(4, math.ceil(letters / 6 / 4 / range_grams))
     with shuffle_cleanup(spark):
         index = _index_rows(src, n, ranges)
         counted = materialise(index.repartitionById(ranges, F.expr(f"if(bucket < 0, cast(pmod(uid, {ranges}) as int), bucket)")).mapInArrow(tidied(_count_range), "uid long, bucket int, a binary, b binary, c binary"))
-        prefix = materialise(counted.repartition(max(4, ranges), "uid").mapInArrow(tidied(lambda it: _prefixes(it, t)), PREFIX))
+        prefix = materialise(counted.repartition(max(4, ranges), "uid").mapInArrow(tidied(lambda it: _prefixes(it, t, hot)), PREFIX))
         discard(counted)
-        links = materialise(_links(_keys(prefix, boundary(prefix)), parts).distinct())
+        rows = materialise(prefix.select("doc_id", "node"))
+        nodes = materialise(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
+        others = rows.join(small(nodes.where("copies > 1").select(F.col("node").alias("_n"), "least"), 32), F.col("node") == F.col("_n")).where("doc_id <> least").select(F.col("node").alias("_n"), F.col("doc_id").alias("_d")).distinct()
+        sets = prefix.where("node is not null").join(small(materialise(others), 32), (F.col("node") == F.col("_n")) & (F.col("doc_id") == F.col("_d")), "left_anti")
+        links = materialise(candidates(sets, parts))
         discard(prefix)
-        stars = materialise(_stars(links))
+        outer = stars.outer_stars(links)
+        held = materialise(outer.join(nodes, F.col("id") == F.col("node")).select("id", "comps", "copies", F.col("least").alias("_least")))
         discard(links)
-    return _join_stars(src, stars, n, t, block_grams, parts)
-
-
-def _stars(links: DataFrame) -> DataFrame:
-    """``(__id, comps)``: the stars of every document, without those that lie within the star of the least set that their centre is linked to."""
-    star = links.select(F.col("src").alias("comp"), F.col("dst").alias("__id"))
-    star = star.unionAll(star.select("comp", F.col("comp").alias("__id")).distinct())
-    above = links.groupBy(F.col("dst").alias("comp")).agg(F.min("src").alias("above")).join(links.select(F.col("src").alias("comp")).distinct(), "comp", "left_semi")
-    there = star.select(F.col("comp").alias("above"), "__id", F.lit(1).alias("there"))
-    inside = star.join(above, "comp").join(there, ["above", "__id"], "left").groupBy("comp").agg(F.count(F.when(F.col("there").isNull(), 1)).alias("outside")).where("outside = 0").select("comp")
-    return star.join(inside, "comp", "left_anti").groupBy("__id").agg(F.collect_list("comp").alias("comps"))
+        sums, comp = stars.classes(_compared(src, held, n, t, block_grams, parts))
+    node = nodes.withColumnRenamed("node", "_n").join(comp, F.col("_n") == F.col("id"), "left").select("_n", "least", "copies", F.coalesce("comp", "_n").alias("comp"))
+    lowest = node.groupBy("comp").agg(F.min("least").alias("class_id"))
+    facts = node.join(lowest, "comp").join(sums, F.col("_n") == F.col("id"), "left")
+    facts = facts.where("copies > 1 or id is not null").select("_n", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.when(F.col("copies") > 1, 1.0).otherwise(F.col("best")).alias("best_jaccard"))
+    joined = rows.join(small(materialise(facts), 48), F.col("node") == F.col("_n"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), "best_jaccard")
+    alone = every.where("doc_id is null or text is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"), F.lit(None).cast("double").alias("best_jaccard"))
+    return joined.unionAll(alone)
 
 
-def _join_stars(src: DataFrame, stars: DataFrame, n: int, t: float, block_grams: int, parts: int) -> DataFrame:
-    members = src.join(small(stars, 64), F.col("doc_id") == F.col("__id")).select("comps", "doc_id", "text")
+def _compared(src: DataFrame, held: DataFrame, n: int, t: float, block_grams: int, parts: int) -> DataFrame:
+    """The texts of nodes in stars, as sets, compared within the stars."""
+    members = src.join(stars.sized(held), F.col("doc_id") == F.col("_least")).select("id", "comps", "copies", "text")
 
     def sets(batch: pa.RecordBatch):
         bounds, gram = gram_sets(batch.column("text"), n)
-        yield pa.RecordBatch.from_arrays([batch.column("comps"), batch.column("doc_id"), pa.array(np.diff(bounds).astype(np.int64)), pa.array([_bytes(gram[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["comps", "doc_id", "size", "grams"])
+        # of rows that repeat a doc_id, those with the set that is meant
+        keep = pa.array(set_hash(bounds, gram) == batch.column("id").to_numpy())
+        payload = pa.array([_bytes(gram[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("comps"), batch.column("copies"), payload], names=["id", "comps", "copies", "payload"]).filter(keep)
 
-    owned = arrow_map(members, sets, "comps array<long>, doc_id long, size long, grams binary").withColumn("comp", F.explode("comps"))
+    owned = arrow_map(members, sets, "id long, comps array<long>, copies long, payload binary")
     # text lengths bound the sets' sizes without another pass over the texts
-    weight = members.select(F.explode("comps").alias("comp"), F.length("text").alias("letters")).groupBy("comp").agg(F.sum("letters").alias("letters")).where(F.col("letters") > 4 * block_grams).select(F.col("comp").alias("__comp"), F.ceil(F.col("letters") / (4 * block_grams)).cast("int").alias("blocks"))
-    weight = materialise(weight)
-    cut = owned.join(small(weight, 40), F.col("comp") == F.col("__comp"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    placed = (
-        cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("bi", F.least("block", "other"))
-        .withColumn("bj", F.greatest("block", "other"))
-        .select("comp", "bi", "bj", "block", "doc_id", "grams")
-    )
-    found = placed.repartition(parts, "comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj").mapInArrow(tidied(lambda it: _verify(it, t)), "doc_a long, doc_b long, jaccard double")
-    return found.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    weight = members.select(F.explode("comps").alias("comp"), F.length("text").cast("long").alias("weight"))
+    blocks = stars.placed(owned, weight, 4 * block_grams)
+    return stars.verified(blocks, lambda block: compare(block, t), lambda raw: np.frombuffer(raw.as_py(), np.uint64), parts)
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """One document, the lowest doc_id, of each group linked by similar pairs; rows without a doc_id stay, as does every row of a kept doc_id."""
+    """One document, the lowest doc_id, of each class; rows without a doc_id stay, as does every row of a doc_id of which any row is the first of its class."""
+    name = fresh(docs, "__gone")
     with shuffle_cleanup(docs.sparkSession):
-        linked = components(materialise(similar_pairs(docs, **how).select(F.col("doc_a").alias("src"), F.col("doc_b").alias("dst"))))
-        name = fresh(docs, "__gone")
-        gone = materialise(linked.where("id <> comp").select(F.col("id").alias(name)))
+        gone = materialise(linked(docs, **how).where("doc_id is not null").groupBy(F.col("doc_id").alias(name)).agg(F.min(F.col("class_id") < F.col("doc_id")).alias("all")).where("all").select(name))
     return docs.join(small(gone, 24), F.col("doc_id") == F.col(name), "left_anti")
