@@ -9,9 +9,10 @@ the distinct n-grams of its words (a shorter document has one gram, all its word
 2. Documents with one and the same set are copies: one of them stands for all from here on, so copies are never compared.
 3. A pair with the needed overlap shares ``l`` grams within the ``|x| - ceil(t|x|) + l`` rarest of both sides.
    *Light* (small) sets enumerate the 2-subsets of that prefix for ``l = 2`` and meet on equal subsets; *heavy*
-   (large) sets scan the inverted lists of the prefix for ``l = 1``, against all sets. The boundary between them is the
-   size at which the subsets and entries that light sets write plus the lengths of the lists that heavy sets scan are
-   least, from sums by size over the whole table.
+   (large) sets scan the inverted lists of the prefix for ``l = 1``, against all sets that may be similar to a heavy one
+   by their size. The boundary between them is the size at which the subsets and entries that light sets write plus the
+   lengths of the lists that heavy sets scan are least, among the sizes at which light sets write no more subsets than
+   there are entries in all lists (so what is written stays linear in the grams), from sums by size over the whole table.
 4. Sets that meet are linked to the first of their list, which takes as many links as the list is long: every pair to
    be found lies within the star of one such first set. The list of a gram of more than ``HOT`` documents is never
    brought together; its first set is aggregated and joined back.
@@ -210,31 +211,37 @@ def _prefixes(batches: Iterator[pa.RecordBatch], t: float, hot: int) -> Iterator
                 pa.array((need > 1).astype(np.int32)),
                 pa.array(one.astype(np.int32)),
                 pa.array(np.bincount(doc[df > hot], minlength=len(ids)).astype(np.int32)),
-                pa.array(k * (k - 1) / 2.0 + one),
+                pa.array(k * (k - 1) / 2.0),
                 pa.array((scans[bounds[:-1] + one] - scans[bounds[:-1]]).astype(np.float64)),
                 list_array(bounds, pa.array(gram.view(np.int64))),
             ],
-            names=["doc_id", "node", "size", "two", "one", "hot", "light", "heavy", "grams"],
+            names=["doc_id", "node", "size", "two", "one", "hot", "subsets", "scanned", "grams"],
         )
 
 
-#: ``hot`` of the grams, the last, are of more than ``HOT`` documents; ``light`` and ``heavy`` are the costs as one or the other.
-PREFIX = "doc_id long, node long, size int, two int, one int, hot int, light double, heavy double, grams array<long>"
+#: ``one`` grams stand in lists, and ``hot``, the last, are of more than ``HOT`` documents; ``subsets`` is what a light set writes, ``scanned`` the lists' lengths.
+PREFIX = "doc_id long, node long, size int, two int, one int, hot int, subsets double, scanned double, grams array<long>"
 
 
 def boundary(prefix: DataFrame) -> int:
-    """The largest size of a light set: where what light sets write and the lists that heavy sets scan are least."""
-    rows = prefix.where("two = 1").groupBy("size").agg(F.sum("light").alias("light"), F.sum("heavy").alias("heavy")).groupBy(F.expr("cast(log2(size) * 8 as int)").alias("bin")).agg(F.max("size").alias("size"), F.sum("light").alias("light"), F.sum("heavy").alias("heavy")).orderBy("bin").collect()
-    best, cost, at = sum(r.heavy for r in rows), sum(r.heavy for r in rows), 0
+    """The largest size of a light set: what light sets write and the lists that heavy sets scan are least, and subsets no more than entries."""
+    sums = {c: F.sum(c).alias(c) for c in ("one", "subsets", "scanned")}
+    entries = prefix.agg(F.sum("one")).first()[0] or 0
+    rows = prefix.where("two = 1").groupBy("size").agg(*sums.values()).groupBy(F.expr("cast(log2(size) * 8 as int)").alias("bin")).agg(F.max("size").alias("size"), *sums.values()).orderBy("bin").collect()
+    best = cost = sum(r.scanned for r in rows)
+    at, written = 0, 0.0
     for r in rows:
-        cost += r.light - r.heavy
+        cost += r.subsets + r.one - r.scanned
+        written += r.subsets
+        if written > entries:
+            break
         if cost < best:
             best, at = cost, r.size
     return at
 
 
-def _keys(prefix: DataFrame, light: int) -> DataFrame:
-    """``key``, ``node``, whether it may start a list, and whether the list is hot: subsets of light sets, single grams of all."""
+def _keys(prefix: DataFrame, light: int, t: float) -> DataFrame:
+    """``key``, ``node``, whether it may start a list, and whether the list is hot: subsets of light sets, single grams of others and of what may be similar to them."""
 
     def run(batch: pa.RecordBatch):
         ids = batch.column("node").to_numpy()
@@ -242,11 +249,13 @@ def _keys(prefix: DataFrame, light: int) -> DataFrame:
         bounds = batch.column("grams").offsets.to_numpy()
         gram = batch.column("grams").values.to_numpy().view(np.uint64)
         small_set = (size <= light) & (two == 1)
+        # others are larger than ``light``, or so small that one common gram may do
+        met = ~small_set | (size >= t * (light + 1) - 1e-9) | (size <= 1 / t**2 + 1e-9)
         key, doc, lead, warm = [], [], [], []
         for k in range(len(ids)):
             own = gram[bounds[k] : bounds[k + 1]]
             cool = len(own) - hot[k]
-            single = own[: one[k]]
+            single = own[: one[k] if met[k] else 0]
             key.append(single)
             lead.append(np.full(len(single), not small_set[k]))
             doc.append(np.full(len(single), ids[k]))
@@ -293,9 +302,9 @@ def _hot_links(keys: DataFrame) -> DataFrame:
     return keys.join(small(materialise(first), 32), F.col("key") == F.col("_key")).select("src", F.col("node").alias("dst")).where("src <> dst")
 
 
-def candidates(prefix: DataFrame, parts: int) -> DataFrame:
+def candidates(prefix: DataFrame, parts: int, t: float) -> DataFrame:
     """Stars ``(src, dst)`` of the sets of ``prefix``, one row a set."""
-    keys = _keys(prefix, boundary(prefix))
+    keys = _keys(prefix, boundary(prefix), t)
     found = _links(keys.where("not hot").drop("hot"), parts)
     if not prefix.where("hot > 0").isEmpty():
         found = found.unionAll(_hot_links(keys.where("hot").drop("hot")))
@@ -354,7 +363,7 @@ def linked(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, block_gram
         nodes = materialise(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
         others = rows.join(small(nodes.where("copies > 1").select(F.col("node").alias("_n"), "least"), 32), F.col("node") == F.col("_n")).where("doc_id <> least").select(F.col("node").alias("_n"), F.col("doc_id").alias("_d")).distinct()
         sets = prefix.where("node is not null").join(small(materialise(others), 32), (F.col("node") == F.col("_n")) & (F.col("doc_id") == F.col("_d")), "left_anti")
-        links = materialise(candidates(sets, parts))
+        links = materialise(candidates(sets, parts, t))
         discard(prefix)
         outer = stars.outer_stars(links)
         held = materialise(outer.join(nodes, F.col("id") == F.col("node")).select("id", "comps", "copies", F.col("least").alias("_least")))
