@@ -169,7 +169,7 @@ def test_crowds_blocks_and_copies_count_every_link_once(spark):
 def test_tables_follow_the_scale():
     counts = [lattice.tables_for(lattice.scale_for(n), 64, lattice.THRESHOLD, lattice.PROBES) for n in (2_000, 3_000_000, 100_000_000)]
     assert counts[0] == lattice.TABLES and counts == sorted(counts) and counts[2] > counts[1] > lattice.TABLES
-    assert lattice.signs_apart(0.5) > lattice.signs_apart(0.9) > 15
+    assert lattice.signs_apart(0.5) > lattice.signs_apart(0.9) > 20
 
 
 def test_links_of_the_given_table(spark):

@@ -9,7 +9,7 @@ a table less often, and the number of tables follows: ``tables_for`` draws pairs
 meet in one table, and takes as many tables (``TABLES`` at least) as find ``RECALL`` of them. More than ``TOGETHER`` are
 worked through that many at a time, so hashes on disk don't grow with their number.
 
-Vectors that meet in a cell are compared by 64 signs of random projections: those that differ in no more than
+Vectors that meet in a cell are compared by ``SIGNS`` signs of random projections: those that differ in no more than
 ``signs_apart`` (3.5 deviations above what pairs at the threshold differ in) are joined, and each component of a cell is a
 star of its lowest id. A cell in which more than ``HOT`` look is never brought together: it is one star, whose lowest id is
 aggregated and joined back. ``stars`` then compares all pairs within a star by their exact cosine, block by block, and
@@ -43,6 +43,8 @@ THRESHOLD = 0.9
 TABLES = 3
 TOGETHER = 8
 PROBES = 8
+#: Signs of random projections that vectors in a cell are compared by, two words of them.
+SIGNS = 128
 #: Strangers stored in a cell, about.
 STRANGERS = 512.0
 #: Vectors looking into a cell beyond which it isn't brought together in one task.
@@ -97,10 +99,10 @@ def scale_for(n: int) -> float:
 
 
 def tables(dim: int, count: int = TABLES, seed: int = SEED) -> tuple[list[np.ndarray], np.ndarray]:
-    """Projections (dim, 8) of each table, and 64 directions for signs."""
+    """Projections (dim, 8) of each table, and directions for signs."""
     rng = np.random.default_rng(seed)
     wide = max(dim, 8)
-    return [np.linalg.qr(rng.normal(size=(wide, 8)))[0][:dim] * np.sqrt(dim / 8) for _ in range(count)], rng.normal(size=(dim, 64))
+    return [np.linalg.qr(rng.normal(size=(wide, 8)))[0][:dim] * np.sqrt(dim / 8) for _ in range(count)], rng.normal(size=(dim, SIGNS))
 
 
 def tables_for(scale: float, dim: int, threshold: float, probes: int, least: int = TABLES, enough: int = 1000, batch: int = 500) -> int:
@@ -147,9 +149,9 @@ def keys(x: np.ndarray, projections: list[np.ndarray], scale: float, probes: int
 
 
 def signs_apart(threshold: float) -> int:
-    """Signs of 64 in which a pair at the threshold differs at most, but for one in some thousands."""
+    """Signs in which a pair at the threshold differs at most, but for one in some thousands."""
     p = float(np.arccos(np.clip(threshold, -1, 1)) / np.pi)
-    return int(np.ceil(64 * p + 3.5 * np.sqrt(64 * p * (1 - p))))
+    return int(np.ceil(SIGNS * p + 3.5 * np.sqrt(SIGNS * p * (1 - p))))
 
 
 def linked(vectors: DataFrame, threshold: float = THRESHOLD, count: int = TABLES, probes: int = PROBES, hot: int = HOT, block_members: int = BLOCK_MEMBERS) -> DataFrame:
@@ -209,7 +211,7 @@ def candidates(nodes: DataFrame, dim: int, count: int, scale: float, probes: int
     for first in range(0, count, TOGETHER):
         some = projections[first : first + TOGETHER]
         hashed = materialise(_hashed(nodes, some, signs, scale, probes, first))
-        cells = hashed.select("id", "sketch", F.posexplode("probed").alias("pos", "cell")).select("id", "sketch", "cell", (F.col("pos") % probes == 0).alias("stored"))
+        cells = hashed.select("id", "sa", "sb", F.posexplode("probed").alias("pos", "cell")).select("id", "sa", "sb", "cell", (F.col("pos") % probes == 0).alias("stored"))
         parts = max(8, -(-n * len(some) * probes // PART_ROWS))
         # those that look into a cell are stored in it or in one of its 240 neighbours
         if cells.where("stored").groupBy("cell").count().where(F.col("count") > hot // 241).isEmpty():
@@ -227,7 +229,7 @@ def candidates(nodes: DataFrame, dim: int, count: int, scale: float, probes: int
 
 
 def _hashed(nodes: DataFrame, projections: list[np.ndarray], signs: np.ndarray, scale: float, probes: int, first: int) -> DataFrame:
-    """(id, sketch, probed): of each table the vector's own cell and its nearest neighbours."""
+    """(id, sa, sb, probed): signs, and of each table the vector's own cell and its nearest neighbours."""
     held = nodes.sparkSession.sparkContext.broadcast((projections, signs))
 
     def run(batch: pa.RecordBatch):
@@ -238,10 +240,10 @@ def _hashed(nodes: DataFrame, projections: list[np.ndarray], signs: np.ndarray,
         x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(float)
         x /= np.sqrt((x * x).sum(1))[:, None]
         _, probed = keys(x, projections, scale, probes, first)
-        sketch = np.packbits(x @ signs > 0, axis=1).view(np.int64).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sketch), list_array(np.arange(len(ids) + 1) * probed[0].size, pa.array(probed.ravel().view(np.int64)))], names=["id", "sketch", "probed"])
+        sketch = np.packbits(x @ signs > 0, axis=1).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sketch[:, 0].copy()), pa.array(sketch[:, 1].copy()), list_array(np.arange(len(ids) + 1) * probed[0].size, pa.array(probed.ravel().view(np.int64)))], names=["id", "sa", "sb", "probed"])
 
-    return arrow_map(nodes, run, "id long, sketch long, probed array<long>", by=None)
+    return arrow_map(nodes, run, "id long, sa long, sb long, probed array<long>", by=None)
 
 
 def _met(cells: DataFrame, parts: int, apart: int) -> DataFrame:
@@ -251,22 +253,23 @@ def _met(cells: DataFrame, parts: int, apart: int) -> DataFrame:
         got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
         if not got:
             return
-        ids, sketch, cell, stored = (np.concatenate([g[k] for g in got]) for k in range(4))
+        ids, sa, sb, cell, stored = (np.concatenate([g[k] for g in got]) for k in range(5))
         del got
         order = np.lexsort((ids, cell))
-        ids, sketch, cell, stored = ids[order], sketch[order].view(np.uint64), cell[order], stored[order]
+        ids, sa, sb, cell, stored = ids[order], sa[order].view(np.uint64), sb[order].view(np.uint64), cell[order], stored[order]
         cut = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
         held = np.add.reduceat(stored.astype(np.int64), cut)
         ends = np.append(cut[1:], len(cell))
         out: list[np.ndarray] = []
         for k in np.flatnonzero((held > 0) & (ends - cut > 1)):
             at = slice(cut[k], ends[k])
-            mine, own = ids[at], sketch[at]
+            mine, first, second = ids[at], sa[at], sb[at]
             there = np.flatnonzero(stored[at])
             label = np.arange(len(mine))
             step = max(1, (1 << 20) // len(there))
             for i in range(0, len(mine), step):
-                a, b = np.nonzero(np.bitwise_count(own[i : i + step, None] ^ own[there]) <= apart)
+                apart_by = np.bitwise_count(first[i : i + step, None] ^ first[there]) + np.bitwise_count(second[i : i + step, None] ^ second[there])
+                a, b = np.nonzero(apart_by <= apart)
                 label = stars.merge(label, a + i, there[b])
             some = np.flatnonzero(label != np.arange(len(mine)))
             if len(some):
