@@ -14,6 +14,13 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(ends, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
+def degrees_of(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """``degrees`` of a few nodes (``id``) without counting the ends of all others."""
+    ids = ids.select("id").distinct()
+    ends = edges.select(F.explode(F.array("source", "target")).alias("id")).join(ids, "id", "left_semi").groupBy("id").agg(F.count("*").alias("degree"))
+    return ids.join(ends, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
 def distribution(df: DataFrame, column: str, missing: str = "unknown") -> DataFrame:
     return df.groupBy(F.coalesce(F.nullif(F.col(column), F.lit("")), F.lit(missing)).alias(column)).agg(F.count("*").alias("n"))
 
@@ -54,7 +61,8 @@ def community_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
 
 def community_labels(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:
     """The label of each community's node of highest degree, the least id among equals."""
-    ranked = nodes.join(degrees(nodes, edges), "id").join(members, "id").where(~noise())
+    named = nodes.select("id", "label", "sf_type")
+    ranked = named.join(degrees(nodes, edges), "id").join(members.select("id", "community"), "id").where(~noise())
     return ranked.groupBy("community").agg(F.min_by("label", F.struct(-F.col("degree"), "id")).alias("label"))
 
 

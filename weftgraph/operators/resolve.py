@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.functions.text import make_id, namespace, stem
+from weftgraph.functions.text import before_last_dot, make_id, namespace
 
 DOCUMENTS = ("document", "paper", "image")
 
@@ -35,9 +35,9 @@ def resolve_calls_by_label(calls: DataFrame, nodes: DataFrame, kinds: tuple[str,
 
 
 def label_index(nodes: DataFrame) -> DataFrame:
-    """(name, id, is_doc) by whole label and by label up to its first dot."""
+    """(name, id, is_doc) by whole label and by label up to its last dot."""
     base = nodes.where("label is not null and label <> ''").select("id", "label", F.col("file_type").isin(*DOCUMENTS).alias("is_doc"))
-    return base.select(F.col("label").alias("name"), "id", "is_doc").union(base.select(stem("label").alias("name"), "id", "is_doc")).where("name <> ''").distinct()
+    return base.select(F.col("label").alias("name"), "id", "is_doc").union(base.select(before_last_dot("label").alias("name"), "id", "is_doc")).where("name <> ''").distinct()
 
 
 def resolve_mentions(mentions: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -1,14 +1,18 @@
 """Neighbourhoods, impact, shortest paths: frontier joins, level by level.
 
-A step joins the frontier with edges pre-partitioned by source, drops what has been visited, and is written to the shared
-folder, so lineage doesn't grow with depth and lost executors cost one step at most.
+The edges to walk are written once, narrow, and a step joins the frontier with them, drops what has been visited, and is
+written to the shared folder, so lineage doesn't grow with depth and lost executors cost one step at most. The planner
+knows each table's true size, so a small frontier is broadcast and a large one shuffled.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.operators.measure import degrees_of
 from weftgraph.session import cut
 
 CAP_DEPTH = 10
@@ -31,6 +35,7 @@ def impact(edges: DataFrame, start: DataFrame, direction: str = "forward", depth
         walk = walk.where(F.lower("relation") == relation.lower())
     if not inferred:
         walk = walk.where(F.coalesce("confidence", F.lit("EXTRACTED")) == "EXTRACTED")
+    walk = cut(walk.select("source", "target", "relation")) if depth > 1 else walk
     frontier = start.select("id").distinct()
     visited = frontier
     found = start.select("id", F.lit(0).alias("depth"), F.lit("").alias("relations")).where(F.lit(False))
@@ -42,18 +47,47 @@ def impact(edges: DataFrame, start: DataFrame, direction: str = "forward", depth
     return found
 
 
-def shortest_paths(edges: DataFrame, start: DataFrame, depth: int = CAP_DEPTH, direction: str = "forward") -> DataFrame:
-    """(id, hops, path): a shortest path from ``start(id)`` to each node, the least of equals by parent."""
-    walk = oriented(edges, direction).select("source", "target").distinct()
-    level = start.select("id", F.lit(0).alias("hops"), F.array("id").alias("path")).distinct()
-    found = level
-    for d in range(1, depth + 1):
-        step = walk.join(level.withColumnRenamed("id", "_at"), F.col("source") == F.col("_at")).join(found.select(F.col("id").alias("_seen")), F.col("target") == F.col("_seen"), "left_anti")
-        level = cut(step.groupBy(F.col("target").alias("id")).agg(F.min("path").alias("path")).select("id", F.lit(d).alias("hops"), F.concat("path", F.array("id")).alias("path")))
-        if level.isEmpty():
+def levels(edges: DataFrame, start: DataFrame, depth: int | None = None, direction: str = "forward", target: str | None = None) -> list[DataFrame]:
+    """Of each hop from ``start(id)`` on, (id, hops, parent): what it reaches first, with the least node that reaches it.
+
+    The walk ends where it reaches nothing new, after ``depth`` hops, or at ``target``.
+    """
+    walk = cut(oriented(edges, direction).select("source", "target").distinct())
+    out = [cut(start.select("id", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("parent")).distinct())]
+    seen = out[0].select("id")
+    hit = F.coalesce(F.max(F.col("id") == target) if target is not None else F.lit(False), F.lit(False))
+    while depth is None or len(out) <= depth:
+        step = walk.join(out[-1].select(F.col("id").alias("source")), "source", "left_semi").join(seen.select(F.col("id").alias("target")), "target", "left_anti")
+        level = cut(step.groupBy(F.col("target").alias("id")).agg(F.min("source").alias("parent")).select("id", F.lit(len(out)).alias("hops"), "parent"))
+        new, there = level.agg(F.count("*"), hit).first()
+        if not new:
             break
-        found = found.unionAll(level)
-    return found
+        out.append(level)
+        if there:
+            break
+        seen = seen.unionAll(level.select("id"))
+        if len(out) % 8 == 0:  # plans stay small on long walks
+            seen = cut(seen)
+    return out
+
+
+def shortest_paths(edges: DataFrame, start: DataFrame, depth: int | None = None, direction: str = "forward") -> DataFrame:
+    """(id, hops, parent): a shortest path from ``start(id)`` to each node it reaches, as its last node but one."""
+    return reduce(DataFrame.unionAll, levels(edges, start, depth, direction))
+
+
+def shortest_path(edges: DataFrame, source: str, target: str, direction: str = "forward") -> list[str] | None:
+    """The ids on a shortest path, however long, the least parent among equals; None where there is none."""
+    start = edges.sparkSession.createDataFrame([(source,)], "id string")
+    path = [target]
+    if source == target:
+        return path
+    found = levels(edges, start, None, direction, target)
+    if found[-1].where(F.col("id") == target).isEmpty():
+        return None
+    for level in reversed(found[1:]):  # a row a hop
+        path.append(level.where(F.col("id") == path[-1]).first().parent)
+    return path[::-1]
 
 
 def path_edges(edges: DataFrame, path: list[str]) -> DataFrame:
@@ -94,27 +128,33 @@ def score_nodes(nodes: DataFrame, question: str) -> DataFrame:
     return nodes.select("id", "label", (score + exact).alias("score")).where("score > 0")
 
 
-def ask(nodes: DataFrame, edges: DataFrame, degree: DataFrame, question: str, hops: int = 2, fan: int = 5, budget: int = 2000) -> DataFrame:
+def fan_out(walk: DataFrame, level: DataFrame, most: int) -> DataFrame:
+    """``top_neighbours`` of the nodes of ``level(id)`` alone: degrees are counted of what these point at, no others."""
+    near = walk.join(level.select(F.col("id").alias("source")), "source", "left_semi").distinct()
+    degree = degrees_of(near.select(F.col("target").alias("id")), walk).withColumnRenamed("id", "target")
+    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("degree"), "target"))
+    return near.join(degree, "target").withColumn("rank", rank).where(F.col("rank") <= most).select("source", "target", "degree", "rank")
+
+
+def ask(nodes: DataFrame, edges: DataFrame, question: str, hops: int = 2, fan: int = 5, budget: int = 2000) -> DataFrame:
     """Rows around the node that matches a question best, by depth, within the budget (four characters a token)."""
-    start = score_nodes(nodes, question).orderBy(F.desc("score"), F.desc("id")).limit(1).select("id")
-    best = top_neighbours(edges, degree, fan)
-    level = start.withColumn("depth", F.lit(0))
+    level = cut(score_nodes(nodes, question).orderBy(F.desc("score"), F.desc("id")).limit(1).select("id", F.lit(0).alias("depth")))
+    walk = cut(edges.select("source", "target"))
     found = level
     for d in range(1, hops + 1):
-        level = cut(best.join(level.select("id"), F.col("source") == F.col("id"), "left_semi").select(F.col("target").alias("id")).distinct().join(found.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)))
+        level = cut(fan_out(walk, level, fan).select(F.col("target").alias("id")).distinct().join(found.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)))
         found = found.unionAll(level)
     rows = found.join(nodes.select("id", "label", "sf_type"), "id")
     return within_budget(rows, F.length(F.concat_ws(" ", "id", "label", "sf_type")), ["depth", "id"], budget * 4)
 
 
-def ask_deep(nodes: DataFrame, edges: DataFrame, degree: DataFrame, question: str, hops: int = 2, fan: int = 5, budget: int = 2000) -> DataFrame:
+def ask_deep(nodes: DataFrame, edges: DataFrame, question: str, hops: int = 2, fan: int = 5, budget: int = 2000) -> DataFrame:
     """As ``ask``, in depth-first order: each node where the walk that takes successors of highest degree first meets it."""
-    start = score_nodes(nodes, question).orderBy(F.desc("score"), F.desc("id")).limit(1)
-    best = top_neighbours(edges, degree, fan)
-    level = start.select("id", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("visit"))
+    level = cut(score_nodes(nodes, question).orderBy(F.desc("score"), F.desc("id")).limit(1).select("id", F.lit(0).alias("depth"), F.array().cast("array<int>").alias("visit")))
+    walk = cut(edges.select("source", "target"))
     found = level
     for d in range(1, hops + 1):
-        level = cut(best.join(level.select(F.col("id").alias("_at"), "visit"), F.col("source") == F.col("_at")).select(F.col("target").alias("id"), F.lit(d).alias("depth"), F.concat("visit", F.array("rank")).alias("visit")))
+        level = cut(fan_out(walk, level.select("id").distinct(), fan).join(level.select(F.col("id").alias("source"), "visit"), "source").select(F.col("target").alias("id"), F.lit(d).alias("depth"), F.concat("visit", F.array("rank")).alias("visit")))
         found = found.unionAll(level)
     met = found.groupBy("id").agg(F.min_by("depth", "visit").alias("depth"), F.min("visit").alias("visit"))
     rows = met.join(nodes.select("id", "label", "sf_type"), "id")
@@ -130,6 +170,7 @@ def running(rows: DataFrame, value: str, order: list) -> DataFrame:
     """``before``: the sum of ``value`` over the rows ahead in a total order, by range partitions and their totals."""
     ranged = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     ahead = ranged.groupBy("_part").agg(F.sum(value).alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    # ahead has a row a partition, in one small window
     own = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return ranged.withColumn("_own", own).join(F.broadcast(ahead), "_part").withColumn("before", F.col("_ahead") + F.col("_own")).drop("_part", "_own", "_ahead")  # ahead: a row a partition
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators import analyse, build, communities, measure, resolve, traverse
+from weftgraph.session import cut
 from weftgraph.sources import tables as T
 
 QUERIES: dict = {}
@@ -97,13 +98,14 @@ def neighbors_by_relation(spark, d):
 
 
 @query(
-    f"WITH {N}, {E}, {DEG} SELECT e.target AS id, n.label, n.sf_type, e.relation, e.confidence, degree FROM edges e JOIN nodes n ON n.id = e.target JOIN deg ON deg.id = e.target WHERE e.source = 'customer_1' OR e.source = 'orders_1'"
+    f"WITH {N}, {E.replace(' AS (', ' AS MATERIALIZED (', 1)}, near AS MATERIALIZED (SELECT * FROM edges WHERE source = 'customer_1' OR source = 'orders_1'), deg AS MATERIALIZED (SELECT id, CAST(count(*) AS BIGINT) AS degree FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) WHERE id IN (SELECT target FROM near) GROUP BY id) SELECT e.target AS id, n.label, n.sf_type, e.relation, e.confidence, degree FROM near e JOIN nodes n ON n.id = e.target JOIN deg ON deg.id = e.target"
 )
 def explain_node(spark, d):
     nodes, edges = graph(spark, d)
     start = spark.createDataFrame([("customer_1",), ("orders_1",)], "id string")
     near = traverse.neighbours(edges, start).select(F.col("neighbour").alias("id"), "relation", "confidence")
-    return near.join(nodes.select("id", "label", "sf_type"), "id").join(measure.degrees(nodes, edges), "id").select("id", "label", "sf_type", "relation", "confidence", "degree")
+    near = cut(near)
+    return near.join(nodes.select("id", "label", "sf_type"), "id").join(measure.degrees_of(near, edges), "id").select("id", "label", "sf_type", "relation", "confidence", "degree")
 
 
 @query(
@@ -161,11 +163,34 @@ def shortest_path_len(spark, d):
     return traverse.shortest_paths(T.edges(spark, d), spark.createDataFrame([("orders_1",)], "id string"), 4).select("id", "hops")
 
 
-@query()
+@query(
+    "SELECT CAST(0 AS INTEGER) AS hop, 'orders_1' AS source, 'customer_' || o_custkey AS target, 'references' AS relation, 'EXTRACTED' AS confidence FROM orders WHERE o_orderkey = 1 UNION ALL SELECT 1, 'customer_' || c_custkey, 'nation_' || c_nationkey, 'references', 'EXTRACTED' FROM customer JOIN orders ON o_custkey = c_custkey AND o_orderkey = 1 UNION ALL SELECT 2, 'nation_' || n_nationkey, 'region_' || n_regionkey, 'references', 'EXTRACTED' FROM nation JOIN customer ON n_nationkey = c_nationkey JOIN orders ON o_custkey = c_custkey AND o_orderkey = 1"
+)
 def shortest_path(spark, d):
+    """Every edge of a shortest path from an order to the region its customer is in."""
+    region = T.read(spark, d, "orders").where("o_orderkey = 1").join(T.read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(T.read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("n_regionkey").first()
     edges = T.edges(spark, d)
-    got = traverse.shortest_paths(edges, spark.createDataFrame([("orders_1",)], "id string"), 4).where(F.col("id").startswith("region_")).orderBy("id").first()
-    return traverse.path_edges(edges, got.path if got else [])
+    return traverse.path_edges(edges, traverse.shortest_path(edges, "orders_1", f"region_{region.n_regionkey if region else None}") or [])
+
+
+CHAIN_SQL = "SELECT 'event_' || event_id AS source, 'event_' || lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS target FROM events"
+
+
+@query(f"WITH c AS ({CHAIN_SQL}), f AS (SELECT event_id, user_id, ts FROM events WHERE user_id = (SELECT min(user_id) FROM events)), r AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS n FROM f) SELECT CAST(n - 1 AS INTEGER) AS hop, 'event_' || event_id AS id FROM r WHERE n <= 25")
+def shortest_path_long(spark, d):
+    """From the first user's first event to the 25th: more hops than the limit of other walks."""
+    user = T.read(spark, d, "events")
+    user = user.join(F.broadcast(user.agg(F.min("user_id").alias("user_id"))), "user_id")  # one row
+    ends = [r.event_id for r in user.orderBy("ts", "event_id").select("event_id").limit(25).collect()]
+    path = traverse.shortest_path(event_chain(spark, d), f"event_{ends[0]}", f"event_{ends[-1]}") if ends else []
+    return spark.createDataFrame(list(enumerate(path)), "hop int, id string")
+
+
+def event_chain(spark, d):
+    """An edge from each event to its user's next one."""
+    ahead = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    e = T.read(spark, d, "events").select(F.concat(F.lit("event_"), "event_id").alias("source"), F.concat(F.lit("event_"), ahead).alias("target"))
+    return e.where("target is not null").select("*", F.lit("follows").alias("relation"), F.lit("EXTRACTED").alias("confidence"))
 
 
 @query(
@@ -177,8 +202,7 @@ a AS (SELECT id, 0 AS depth FROM s UNION ALL SELECT id, 1 FROM l1 UNION ALL SELE
 SELECT id, depth, label, sf_type, CAST(length(id || ' ' || label || ' ' || sf_type) AS BIGINT) AS cost FROM a JOIN nodes USING (id)"""
 )
 def query_bfs(spark, d):
-    nodes, edges = graph(spark, d)
-    return traverse.ask(nodes, edges, measure.degrees(nodes, edges), "middle nation_7")
+    return traverse.ask(*graph(spark, d), "middle nation_7")
 
 
 @query(f"WITH {MEM}, {E}, z AS (SELECT community, CAST(count(*) AS BIGINT) AS size FROM mem GROUP BY 1), i AS (SELECT a.community, count(DISTINCT (least(source, target), greatest(source, target))) AS pairs FROM edges JOIN mem a ON a.id = source JOIN mem b ON b.id = target WHERE a.community = b.community GROUP BY 1) SELECT community, size, CASE WHEN size <= 1 THEN 1.0 ELSE round(coalesce(pairs, 0) / (size * (size - 1) / 2), 2) END::DOUBLE AS cohesion FROM z LEFT JOIN i USING (community)")
@@ -214,10 +238,23 @@ def community_sizes(spark, d):
     return mixed_members(spark, d).groupBy("community").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    "WITH n AS (SELECT user_id, event_id, ts, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events), r AS (SELECT *, sum(CASE WHEN before = event_type THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM n) SELECT 'event_' || event_id AS id, min('event_' || event_id) OVER (PARTITION BY user_id, run) AS component FROM r"
+)
 def components(spark, d):
-    nodes, edges = graph(spark, d)
-    return communities.components(nodes, edges)
+    """Events, each linked with its user's next one if it is of the same type: components are runs of a type."""
+    events = T.read(spark, d, "events")
+    typed = events.select(F.concat(F.lit("event_"), "event_id").alias("id"), "event_type")
+    chain = event_chain(spark, d).join(typed.toDF("source", "st"), "source").join(typed.toDF("target", "tt"), "target").where("st = tt")
+    return communities.components(typed, chain)
+
+
+@query("WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_shipdate >= '1998-09-01' UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_shipdate >= '1998-09-01'), n AS (SELECT 's' || s_suppkey AS id FROM supplier UNION ALL SELECT 'p' || p_partkey FROM part), r AS (SELECT a AS id, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id) SELECT n.id, coalesce(min(r.c), n.id) AS component FROM n LEFT JOIN r USING (id) GROUP BY n.id")
+def components_of_late_supplies(spark, d):
+    """Suppliers and parts, linked by what shipped last."""
+    e = T.read(spark, d, "lineitem").where("l_shipdate >= '1998-09-01'").select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"))
+    nodes = T.read(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id")).unionAll(T.read(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id")))
+    return communities.components(nodes, e)
 
 
 @query()
@@ -225,6 +262,44 @@ def louvain_communities(spark, d):
     return communities.communities(*graph(spark, d))
 
 
+@query(
+    f"WITH {N} SELECT 'nodes' AS fact, CAST(count(*) AS BIGINT) AS n FROM nodes UNION ALL SELECT 'nodes in two', 0 UNION ALL SELECT 'alone without an edge', CAST(count(*) AS BIGINT) FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem) UNION ALL SELECT 'numbers out of order', 0 UNION ALL SELECT 'nodes without a neighbour inside', 0"
+)
+def louvain_invariants(spark, d):
+    """What holds of communities whatever they are: a partition, numbered by size, of nodes that have a neighbour inside or are alone."""
+    nodes, edges = graph(spark, d)
+    found = cut(communities.communities(nodes, edges))
+    sizes = cut(found.groupBy("community").agg(F.count("*").alias("size")))
+    inside = edges.where("source <> target").join(found.toDF("source", "s"), "source").join(found.toDF("target", "t"), "target").where("s = t")
+    near = inside.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    single = found.join(sizes.where("size = 1"), "community")
+    touched = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    fact = lambda name, df: df.agg(F.lit(name).alias("fact"), F.count("*").alias("n"))
+    parts = [
+        fact("nodes", found),
+        fact("nodes in two", found.groupBy("id").count().where("count > 1")),
+        fact("alone without an edge", single.join(touched, "id", "left_anti").where("id like 'part%'")),
+        fact("numbers out of order", sizes.alias("a").join(sizes.alias("b"), F.col("a.community") + 1 == F.col("b.community")).where("a.size < b.size")),
+        fact("nodes without a neighbour inside", found.join(sizes.where("size > 1"), "community").join(near, "id", "left_anti")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
+TREE = "n AS (SELECT 'supplier_' || s_suppkey AS id, 0 AS below FROM supplier WHERE s_suppkey < 400 UNION ALL SELECT 'nation_' || n_nationkey, CAST(count(s_suppkey) AS INTEGER) FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey < 400 GROUP BY 1 UNION ALL SELECT 'region_' || r_regionkey, 0 FROM region)"
+
+
+@query(f"WITH {TREE}, t AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM n) SELECT id, round(below * 1.0 * (1.0 / ((t.n - 1) * (t.n - 2))), 9)::DOUBLE AS betweenness FROM n, t")
+def betweenness_of_tree(spark, d):
+    """Suppliers point at nations and these at regions: only nations lie between, once for each supplier."""
+    few = T.nodes(spark, d, ("supplier", "nation", "region")).where("not (id like 'supplier%') or cast(substr(id, 10) as int) < 400")
+    ids = few.select("id")
+    e = T.edges(spark, d).where("relation = 'references'").join(ids.toDF("source"), "source", "left_semi").join(ids.toDF("target"), "target", "left_semi")
+    return communities.betweenness(few, e)
+
+
 @query()
 def betweenness(spark, d):
     return communities.betweenness(*graph(spark, d))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -29,17 +32,30 @@ def ship(spark: SparkSession) -> SparkSession:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a temporary one in local mode only, where none is set."""
-    got = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not got:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         got = tempfile.mkdtemp(prefix="weftgraph-")
-    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(got)
     return got.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed and checkpointed in the shared folder: no lineage left, nothing lost with an executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written as a table in the shared folder and read again: no lineage left, nothing lost with an executor, its true size known to the planner."""
+    spark = df.sparkSession
+    void = [f.name for f in df.schema if isinstance(f.dataType, NullType)]
+    df = df.withColumns({c: F.lit(None).cast("string") for c in void}) if void else df
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables of ``cut`` frames that nothing will read again."""
+    for df in frames:
+        spark = df.sparkSession
+        for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+            if "/cut-" in path:
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
