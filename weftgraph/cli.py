@@ -169,8 +169,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             if old is None:
                 print("no manifest")
                 return 1
-            files, _ = tree.detect(spark, args.path)
-            changed = tree.compare(old, tree.manifest(files)).where("change <> 'same'").groupBy("change").count().collect()
+            changed = tree.compare(old, tree.refreshed(spark, args.path, old)).where("change <> 'same'").groupBy("change").count().collect()
             print(", ".join(f"{r['count']} {r.change}" for r in changed) or "up to date")
             return int(bool(changed))
         case "merge-graphs":
@@ -219,7 +218,8 @@ def build(spark, args) -> int:
     for r in skipped.collect():
         print(f"{r.n} files skipped: {r.skip_reason}")
     try:
-        graph = pipeline.run(spark, args.path, args.out, args.update, not args.include_ignored, args.force, semantic)
+        told = (lambda counts: print(", ".join(f"{k} {v}" for k, v in counts.items()))) if args.verbose else None
+        graph = pipeline.run(spark, args.path, args.out, args.update, not args.include_ignored, args.force, semantic, told)
     except ValueError as e:
         print(e, file=sys.stderr)
         return 1

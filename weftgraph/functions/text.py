@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: Namespace prefix of a label: what stands before a double underscore that another one follows.
 CUSTOM_SUFFIXES = ("c", "e", "x", "mdt", "r", "b", "share", "history", "feed", "kav")
@@ -35,13 +40,16 @@ def sanitise_label(x: Column | str) -> Column:
     return F.substring(F.regexp_replace(_c(x), "[\\x00-\\x1f\\x7f]", ""), 1, 256)
 
 
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+@pandas_udf(StringType())
+def _decomposed(x: pd.Series) -> pd.Series:
+    """Compatibility decomposition without combining marks."""
+    return x.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
 
 
 def strip_accents(x: Column | str) -> Column:
-    """Latin-1 letters without their diacritics (no Python: stays in generated code)."""
-    return F.translate(_c(x), ACCENTED, PLAIN)
+    """Letters of any script without their diacritics. Texts in ASCII are left as they are; only the others go through Arrow."""
+    c = _c(x)
+    return F.when(c.rlike("[^\\x00-\\x7f]"), _decomposed(F.when(c.rlike("[^\\x00-\\x7f]"), c))).otherwise(c)
 
 
 def title_words(x: Column | str) -> Column:
@@ -83,6 +91,10 @@ def stem(path: Column | str) -> Column:
     return F.element_at(F.split(F.element_at(F.split(_c(path), "/"), -1), "\\."), 1)
 
 
+def before_last_dot(x: Column | str) -> Column:
+    return F.regexp_replace(_c(x), "\\.[^.]*$", "")
+
+
 def folder(path: Column | str, up: int = 1) -> Column:
     """Name of the folder ``up`` levels above the file."""
     return F.try_element_at(F.split(_c(path), "/"), F.lit(-1 - up))

@@ -40,7 +40,7 @@ def label_sanitise(spark, d):
     return T.read(spark, d, "documents").select("doc_id", X.sanitise_label("text").alias("label"))
 
 
-@query(f"SELECT doc_id, lower(translate(text, '{X.ACCENTED}', '{X.PLAIN}')) AS norm_label FROM documents")
+@query("SELECT doc_id, lower(strip_accents(text)) AS norm_label FROM documents")
 def norm_label_ascii(spark, d):
     return T.read(spark, d, "documents").select("doc_id", F.lower(X.strip_accents("text")).alias("norm_label"))
 
@@ -89,9 +89,14 @@ def budget_prefix(spark, d):
     return traverse.within_budget(docs, F.col("n"), ["lang", "doc_id"], 400_000).select("doc_id", "cost")
 
 
-@query("SELECT source, lang, CAST(count(*) AS BIGINT) AS n FROM documents WHERE lang <> 'en' OR n_chars < 100 GROUP BY ALL")
+@query(
+    "SELECT skip_reason, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN source IN ('src1', 'src2') THEN '.sfgraphignore' WHEN lang = 'de' AND doc_id % 10 <> 7 THEN '.gitignore' WHEN source = 'src3' OR (doc_id % 100 BETWEEN 10 AND 19 AND doc_id >= 10) THEN '.forceignore' END AS skip_reason FROM documents) WHERE skip_reason IS NOT NULL GROUP BY 1"
+)
 def skip_counts(spark, d):
-    return T.read(spark, d, "documents").where("lang <> 'en' or n_chars < 100").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    """Documents as paths ``source/lang/doc_id.md``, skipped by the rules of three ignore files."""
+    listed = T.read(spark, d, "documents").select(F.concat_ws("/", "source", "lang", F.concat("doc_id", F.lit(".md"))).alias("rel"))
+    sources = [(".sfgraphignore", files.ignore_rules("# own\nsrc1/\n/src2/**\n")), (".gitignore", files.ignore_rules("**/de/*.md\n!*7.md\n")), (".forceignore", files.ignore_rules("src3\n*1[0-9].md\n"))]
+    return files.skip_counts(listed.withColumn("skip_reason", files.skip_reason("rel", sources)))
 
 
 @query(
@@ -130,10 +135,23 @@ WORDS = r"WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text
 
 
 @query(f"{WORDS} SELECT doc_id, name FROM w WHERE length(name) >= 3 AND name NOT IN ('The', 'That', 'This', 'And', 'For', 'With', 'From', 'Are', 'Was')")
-def mention_extract(spark, d):
+def mention_names(spark, d):
     return markdown.names(T.read(spark, d, "documents")).select("doc_id", "name")
 
 
+DENIED = ", ".join(f"'{w}'" for w in (*markdown.DENY, *markdown.MORE_DENY))
+
+
+@query(
+    rf"WITH t AS (SELECT doc_id, regexp_extract(text, '^[A-Za-z0-9_]+', 0) AS head, text FROM documents), w AS (SELECT doc_id, 0.6 AS score, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_\x{{80}}-\x{{10FFFF}}])([A-Z][a-z]+[A-Za-z0-9_]*)', 1)) AS name FROM t UNION ALL SELECT doc_id, 0.75, regexp_extract(head, '^[A-Z][a-z]+[A-Za-z0-9_]*', 0) FROM t UNION ALL SELECT doc_id, 0.6, 'Thing__c' FROM t) SELECT doc_id, name, CAST(max(score) AS DOUBLE) AS score FROM w WHERE length(name) >= 3 AND name NOT IN ({DENIED}) GROUP BY ALL"
+)
+def mention_extract(spark, d):
+    """What documents mention, their first word in code and a custom name before the rest."""
+    docs = T.read(spark, d, "documents").where("text is not null")
+    head = F.regexp_extract("text", "^[A-Za-z0-9_]+", 0)
+    return markdown.mentions(docs.select("doc_id", F.concat(F.when(head != "", F.concat(F.lit("`"), head, F.lit("` "))).otherwise(""), F.lit("Thing__c "), "text").alias("text")))
+
+
 FIND = r"regexp_extract_all({0}, '(?:^|[^A-Za-z0-9_\x{{80}}-\x{{10FFFF}}])([A-Z][a-z]+[A-Za-z0-9_]*)', 1)"
 KNOWN = f"SELECT DISTINCT 'item_' || name AS id, name, false AS is_doc FROM (SELECT unnest({FIND.format('text')}) AS name FROM benchmark) UNION ALL SELECT DISTINCT 'page_' || name, name, false FROM (SELECT unnest({FIND.format('html')}) AS name FROM pages) UNION ALL SELECT DISTINCT 'talk_' || name, name, true FROM (SELECT unnest({FIND.format('text')}) AS name FROM conversations)"
 LABELS = f"l AS (SELECT * FROM ({KNOWN}) WHERE name NOT IN ({', '.join(chr(39) + w + chr(39) for w in markdown.DENY)}))"
@@ -172,9 +190,14 @@ def html_child_tags(spark, d):
     return web.tags(T.read(spark, d, "pages"))
 
 
-@query("SELECT DISTINCT page_id, receiver, method FROM (SELECT page_id, unnest(regexp_extract_all(html, '([A-Za-z_][A-Za-z0-9_]*)\\.([A-Za-z_][A-Za-z0-9_]*)\\(', 1)) AS receiver, unnest(regexp_extract_all(html, '([A-Za-z_][A-Za-z0-9_]*)\\.([A-Za-z_][A-Za-z0-9_]*)\\(', 2)) AS method FROM pages)")
+PAGED = "(SELECT page_id, html || ' <script>Page' || page_id || '.load(); Shop.open(1)</script>' AS html FROM pages)"
+
+
+@query(f"SELECT DISTINCT page_id, receiver, method FROM (SELECT page_id, unnest(regexp_extract_all(html, '([A-Za-z_][A-Za-z0-9_]*)\\.([A-Za-z_][A-Za-z0-9_]*)\\(', 1)) AS receiver, unnest(regexp_extract_all(html, '([A-Za-z_][A-Za-z0-9_]*)\\.([A-Za-z_][A-Za-z0-9_]*)\\(', 2)) AS method FROM {PAGED})")
 def call_sites(spark, d):
-    return web.calls(T.read(spark, d, "pages"))
+    """Pages with a script that calls."""
+    pages = T.read(spark, d, "pages")
+    return web.calls(pages.select("page_id", F.concat("html", F.lit(" <script>Page"), "page_id", F.lit(".load(); Shop.open(1)</script>")).alias("html")))
 
 
 @query("SELECT window_start AS started, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS value FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, value FROM events) GROUP BY ALL")
@@ -188,7 +211,9 @@ def coverage_rollup(spark, d):
     return T.read(spark, d, "events").rollup("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.grouping("event_type").cast("bigint").alias("g"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE f AS (SELECT source AS folder, source || '/' || doc_id AS path, CAST(floor((least(length(text), 20000) + 80) / 4) AS BIGINT) AS tokens FROM documents), o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY path) AS rn FROM f), r AS (SELECT folder, path, tokens, rn, 0 AS chunk, tokens AS load FROM o WHERE rn = 1 UNION ALL SELECT o.folder, o.path, o.tokens, o.rn, CASE WHEN r.load > 0 AND r.load + o.tokens > 40000 THEN r.chunk + 1 ELSE r.chunk END, CASE WHEN r.load > 0 AND r.load + o.tokens > 40000 THEN o.tokens ELSE r.load + o.tokens END FROM r JOIN o ON o.folder = r.folder AND o.rn = r.rn + 1) SELECT path, folder, CAST(chunk AS INTEGER) AS chunk, tokens FROM r"
+)
 def chunk_pack(spark, d):
     from weftgraph.sources.llm_chunks import pack
 

@@ -16,7 +16,7 @@ from weftgraph.schema import EDGE, NODE, conform, empty
 
 def node_rows(graph: Graph) -> DataFrame:
     """Nodes with community and plain lower-case label."""
-    return graph.nodes.join(graph.members, "id", "left").withColumn("norm_label", F.lower(strip_accents("label")))
+    return graph.nodes.drop("community", "norm_label").join(graph.members, "id", "left").withColumn("norm_label", F.lower(strip_accents("label")))
 
 
 def edge_rows(graph: Graph) -> DataFrame:

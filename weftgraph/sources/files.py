@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import re
+from datetime import datetime
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.extract.xml_kinds import KINDS
+from weftgraph.session import cut
 
 SKIP = (".git", ".hg", ".svn", "node_modules", "__pycache__", ".venv", "venv", ".sfdx", ".sf", ".idea", ".vscode", "dist", "build", "coverage", ".pytest_cache", ".mypy_cache", ".cache")
 #: Longest suffix first wins; (suffix, kind).
@@ -74,19 +76,27 @@ def ignored(path: str | Column, rules: list[tuple[str, bool]]) -> Column:
     return verdict
 
 
-def find_rules(root: str) -> list[tuple[str, bool]]:
-    """Rules of ``.gitignore`` and ``.forceignore`` of the nearest folder upwards that has one, and of ``.sfgraphignore`` in the root."""
-    texts = []
-    for name in (".gitignore", ".forceignore"):
+Rules = list[tuple[str, list[tuple[str, bool]]]]
+
+
+def skip_reason(path: str | Column, sources: Rules) -> Column:
+    """The first source of rules that ignores a relative path, or null."""
+    return F.coalesce(*[F.when(ignored(path, rules), name) for name, rules in sources], F.lit(None).cast("string"))
+
+
+def find_rules(root: str, respect_ignore: bool = True) -> Rules:
+    """Rules by source: ``.sfgraphignore`` of the root, which always holds, and ``.gitignore`` and ``.forceignore`` of the nearest folder upwards that has one."""
+    found = []
+    if (own := Path(root) / ".sfgraphignore").is_file():
+        found.append((own.name, ignore_rules(own.read_text(errors="ignore"))))
+    for name in (".gitignore", ".forceignore") if respect_ignore else ():
         for folder in (Path(root), *Path(root).resolve().parents):
             if (folder / name).is_file():
-                texts.append((folder / name).read_text(errors="ignore"))
+                found.append((name, ignore_rules((folder / name).read_text(errors="ignore"))))
                 break
             if (folder / ".git").exists():
                 break
-    if (own := Path(root) / ".sfgraphignore").is_file():
-        texts.append(own.read_text(errors="ignore"))
-    return ignore_rules(*texts)
+    return found
 
 
 def kind_of(path: str | Column) -> Column:
@@ -101,32 +111,50 @@ def kind_of(path: str | Column) -> Column:
     return F.when(F.regexp_extract(col, "/aura/([^/]+)/\\1(?:\\.cmp|Controller\\.js|Helper\\.js)$", 1) != "", "aura").otherwise(out)
 
 
-def listing(spark: SparkSession, root: str, respect_ignore: bool = True) -> DataFrame:
+def listing(spark: SparkSession, root: str, respect_ignore: bool = True, since: datetime | None = None) -> DataFrame:
     """(path, rel, kind, skip_reason, mtime, size, content) of all files under ``root``, unknown kinds left out.
 
-    Spark's file index doesn't descend into hidden folders and leaves out files without a byte; the other skipped folders are filtered on the path before
-    contents are read.
+    Spark's file index doesn't descend into hidden folders and leaves out files without a byte; the other skipped folders are
+    filtered on the path. Contents are read only where the column is used, and, with ``since``, of files as new as that
+    (the reader gets this filter).
     """
     base = str(Path(root).resolve())
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    raw = raw.where(F.col("modificationTime") >= F.lit(since)) if since is not None else raw
     path = F.regexp_replace("path", "^file:/*", "/")
     rel = F.substr(path, F.lit(len(base) + 2))
     skip = "(?:^|/)(?:" + "|".join(map(re.escape, SKIP)) + ")/"
-    out = raw.select(path.alias("path"), rel.alias("rel"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"), F.col("length").alias("size"), "content").where(~F.col("rel").rlike(skip))
-    reason = F.when(ignored("rel", find_rules(root)) if respect_ignore else F.lit(False), "ignored")
-    return out.withColumn("kind", kind_of("path")).where("kind is not null").withColumn("skip_reason", reason)
+    out = raw.select(path.alias("path"), rel.alias("rel"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"), F.col("length").alias("size"), "modificationTime", "content").where(~F.col("rel").rlike(skip))
+    return out.withColumn("kind", kind_of("path")).where("kind is not null").withColumn("skip_reason", skip_reason("rel", find_rules(root, respect_ignore)))
+
+
+def detect(spark: SparkSession, root: str, respect_ignore: bool = True, since: datetime | None = None) -> tuple[DataFrame, DataFrame]:
+    """Files to extract, and how many were skipped by source of the rule."""
+    every = listing(spark, root, respect_ignore, since)
+    return every.where("skip_reason is null").drop("skip_reason"), skip_counts(every)
 
 
-def detect(spark: SparkSession, root: str, respect_ignore: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Files to extract, and how many were skipped by reason."""
-    every = listing(spark, root, respect_ignore)
-    return every.where("skip_reason is null").drop("skip_reason"), every.where("skip_reason is not null").groupBy("skip_reason").agg(F.count("*").alias("n"))
+def skip_counts(listed: DataFrame) -> DataFrame:
+    return listed.where("skip_reason is not null").groupBy("skip_reason").agg(F.count("*").alias("n"))
 
 
 def manifest(files: DataFrame) -> DataFrame:
     return files.select("path", "mtime", F.md5("content").alias("hash"))
 
 
+def refreshed(spark: SparkSession, root: str, stored: DataFrame, respect_ignore: bool = True) -> DataFrame:
+    """The manifest of a tree of which one is stored: files of the same time keep their hash and aren't read."""
+    there = detect(spark, root, respect_ignore)[0].select("path", "mtime", "modificationTime")
+    known = stored.select("path", F.col("mtime").alias("_mtime"), "hash")
+    held = cut(there.join(known, "path", "left").select("path", "mtime", "modificationTime", F.when(F.col("mtime") == F.col("_mtime"), F.col("hash")).alias("hash")))
+    oldest = held.where("hash is null").agg(F.min("modificationTime")).first()[0]
+    same = held.where("hash is not null").select("path", "mtime", "hash")
+    if oldest is None:
+        return same
+    fresh = detect(spark, root, respect_ignore, oldest)[0].join(held.where("hash is null").select("path"), "path", "left_semi")
+    return same.unionByName(manifest(fresh))
+
+
 def compare(old: DataFrame, new: DataFrame) -> DataFrame:
     """(path, change) of two manifests: new, deleted, changed (another time and another hash) or same."""
     o, n = old.select("path", F.col("mtime").alias("_om"), F.col("hash").alias("_oh")), new.select("path", F.col("mtime").alias("_nm"), F.col("hash").alias("_nh"))
@@ -139,7 +167,7 @@ def detect_incremental(spark: SparkSession, root: str, stored: DataFrame | None,
     files, _ = detect(spark, root, respect_ignore)
     if stored is None:
         return files, files.select("path", F.lit("new").alias("change"))
-    change = compare(stored, manifest(files))
+    change = compare(stored, refreshed(spark, root, stored, respect_ignore))
     return files.join(change.where("change in ('new', 'changed')").select("path"), "path", "left_semi"), change
 
 

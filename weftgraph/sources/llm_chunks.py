@@ -16,14 +16,19 @@ def pack(files: DataFrame, budget: int = 40_000) -> DataFrame:
     """
     ship(files.sparkSession)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        chunk, load, out = 0, 0, []
-        for tokens in (pdf := pdf.sort_values("path"))["tokens"]:
-            if load and load + tokens > budget:
-                chunk, load = chunk + 1, 0
-            load += tokens
-            out.append(chunk)
-        return pdf.assign(chunk=out)[["path", "folder", "chunk", "tokens"]]
-
-    foldered = files.withColumn("folder", F.regexp_replace("path", "/[^/]*$", ""))
-    return foldered.groupBy("folder").applyInPandas(run, "path string, folder string, chunk int, tokens long")
+    def run(batches):
+        # folders come one after another, files in order: what is carried from batch to batch is one folder's state
+        folder, chunk, load = None, 0, 0
+        for pdf in batches:
+            out = []
+            for at, tokens in zip(pdf["folder"], pdf["tokens"], strict=True):
+                if at != folder:
+                    folder, chunk, load = at, 0, 0
+                elif load and load + tokens > budget:
+                    chunk, load = chunk + 1, 0
+                load += tokens
+                out.append(chunk)
+            yield pdf.assign(chunk=pd.Series(out, dtype="int32"))[["path", "folder", "chunk", "tokens"]]
+
+    foldered = files.select("path", F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.col("tokens").cast("long").alias("tokens"))
+    return foldered.repartition("folder").sortWithinPartitions("folder", "path").mapInPandas(run, "path string, folder string, chunk int, tokens long")

@@ -98,5 +98,5 @@ def watch(spark: SparkSession, root: str, rebuild: Callable[[list[str]], None],
 
 def stream_files(spark: SparkSession, root: str, handle: Callable[[DataFrame, int], None], checkpoint: str, pattern: str = "*"):
     """New files of a tree as a stream of batches, each handled once."""
-    source = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
+    source = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
     return source.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
