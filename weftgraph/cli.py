@@ -9,8 +9,10 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from weftgraph.extract import cache
 from weftgraph.operators import measure
 from weftgraph.plans import pipeline
+from weftgraph.services import environment
 from weftgraph.services.rpc import Service, serve
 from weftgraph.session import session
 from weftgraph.sinks import jsongraph, pages
@@ -65,7 +67,14 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("--to")
     for k, v in (("--uri", "bolt://localhost:7687"), ("--user", "neo4j"), ("--password", ""), ("--database", "neo4j")):
         e.add_argument(k, default=v)
+    add("hook", "action", "path", action={"choices": ("install", "uninstall", "status")})
+    add("merge-driver-setup", "path")
+    add("clear-cache", "folder")
     w = add("watch", "path")
+    w.add_argument("--nice", type=int, default=0)
+    w.add_argument("--memory-mb", type=int)
+    w.add_argument("--poll", type=float, default=5.0)
+    w.add_argument("--no-events", action="store_true")
     w.add_argument("--debounce", type=float, default=3.0)
     w.add_argument("--rounds", type=int)
     add("serve")
@@ -184,14 +193,24 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             jsongraph.write(g, args.ours, force=True)
         case "export":
             export(spark, args)
+        case "hook":
+            for name, there in environment.hook(args.action, args.path, out).items():
+                print(f"{name}: {'installed' if there else 'not installed'}")
+        case "merge-driver-setup":
+            environment.merge_driver(args.path)
+        case "clear-cache":
+            print(f"{cache.clear(spark, args.folder)} files forgotten")
         case "watch":
+            if args.nice or args.memory_mb:
+                environment.limit(args.nice, args.memory_mb)
+
             def rebuild(_: list[str]) -> None:
                 graph = pipeline.run(spark, args.path, out, update=True)
                 outputs(graph, args.path, out, False, True)
 
             if not Path(out, "nodes.parquet").exists():
                 rebuild([])
-            watching.watch(spark, args.path, rebuild, args.debounce, rounds=args.rounds, lock=f"{out}/.lock")
+            watching.watch(spark, args.path, rebuild, args.debounce, args.poll, args.rounds, f"{out}/.lock", not args.no_events)
         case "serve":
             serve(Service(spark, out))
     return 0

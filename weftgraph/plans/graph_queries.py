@@ -305,6 +305,17 @@ def betweenness(spark, d):
     return communities.betweenness(*graph(spark, d))
 
 
+@query(
+    "WITH s AS (SELECT s_nationkey AS k, CAST(count(*) AS DOUBLE) AS below FROM supplier WHERE s_suppkey < 400 GROUP BY 1), t AS (SELECT CAST((SELECT count(*) FROM supplier WHERE s_suppkey < 400) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS DOUBLE) AS n) SELECT 'supplier_' || s_suppkey AS source, 'nation_' || s_nationkey AS target, round(2.0 * (1.0 / (n * (n - 1))), 9)::DOUBLE AS betweenness FROM supplier, t WHERE s_suppkey < 400 UNION ALL SELECT 'nation_' || n_nationkey, 'region_' || n_regionkey, round((coalesce(below, 0) + 1) * (1.0 / (n * (n - 1))), 9)::DOUBLE FROM nation LEFT JOIN s ON k = n_nationkey, t"
+)
+def edge_betweenness_of_tree(spark, d):
+    """On the same tree: a supplier's edge lies on its paths to nation and region, a nation's on those of all its suppliers and its own."""
+    few = T.nodes(spark, d, ("supplier", "nation", "region")).where("not (id like 'supplier%') or cast(substr(id, 10) as int) < 400")
+    ids = few.select("id")
+    e = T.edges(spark, d).where("relation = 'references'").join(ids.toDF("source"), "source", "left_semi").join(ids.toDF("target"), "target", "left_semi")
+    return communities.edge_betweenness(few, e)
+
+
 END = "e AS (SELECT ed.source, ed.target, ed.relation, ed.confidence, ed.ord, s.file_type AS sk, t.file_type AS tk, s.source_file AS sf, t.source_file AS tf, sd.degree AS sdeg, td.degree AS tdeg, sm.community AS sc, tm.community AS tc FROM edges ed JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target JOIN deg sd ON sd.id = source JOIN deg td ON td.id = target LEFT JOIN mem sm ON sm.id = source LEFT JOIN mem tm ON tm.id = target WHERE relation NOT IN ('contains', 'method'))"
 CAT = "CASE {0} WHEN 'object' THEN 'data' WHEN 'field' THEN 'data' WHEN 'profile' THEN 'security' WHEN 'flow' THEN 'automation' ELSE 'other' END"
 

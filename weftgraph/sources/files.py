@@ -171,6 +171,14 @@ def detect_incremental(spark: SparkSession, root: str, stored: DataFrame | None,
     return files.join(change.where("change in ('new', 'changed')").select("path"), "path", "left_semi"), change
 
 
+WATCHED = ("-meta.xml", ".cls", ".trigger", ".js", ".html", ".cmp", ".page", ".component", ".md", ".mdx", ".txt", ".rst", ".pdf", ".docx", ".xlsx", ".htm", ".xml")
+
+
+def watched(path: str) -> bool:
+    """Whether a change of the file calls for a rebuild."""
+    return path.endswith(WATCHED)
+
+
 def snapshot(root: str) -> dict[str, float]:
     """Times of the files that count, by path, for polling."""
     out = {}
@@ -178,7 +186,7 @@ def snapshot(root: str) -> dict[str, float]:
         dirs[:] = [d for d in dirs if d not in SKIP]
         for name in names:
             p = os.path.join(folder, name)
-            if name.endswith(("-meta.xml", ".cls", ".trigger", ".js", ".html", ".cmp", ".page", ".component", ".md", ".mdx", ".txt", ".rst", ".pdf", ".docx", ".xlsx", ".htm", ".xml")):
+            if watched(p):
                 try:
                     out[p] = os.stat(p).st_mtime
                 except OSError:

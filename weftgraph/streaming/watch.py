@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.sources import files
+from weftgraph.streaming.events import Events
 
 
 def sessions(events: DataFrame, key: str, ts: str, tie: str, gap_seconds: int) -> DataFrame:
@@ -70,18 +71,34 @@ class Debounce:
         return True
 
 
-def watch(spark: SparkSession, root: str, rebuild: Callable[[list[str]], None], debounce: float = 3.0, poll: float = 5.0, rounds: int | None = None, lock: str | None = None) -> int:
-    """Poll a tree and rebuild, debounced, with the paths that changed; returns how often. ``rounds`` bounds the loop."""
-    timer, pending, built = Debounce(debounce), set(), 0
+def changes(root: str, poll: float, events: bool = True) -> Iterator[set[str]]:
+    """Sets of paths that changed, one each ``poll`` seconds or as the system tells; where it doesn't, times are compared."""
+    told = None
+    if events:
+        try:
+            told = Events(root, files.watched, files.SKIP)
+        except (OSError, AttributeError):  # another system, or no watches left
+            pass
+    if told is not None:
+        try:
+            while True:
+                yield told.changed(poll)
+        finally:
+            told.close()
     seen = files.snapshot(root)
-    lock = lock or str(Path(root) / ".weftgraph.lock")
-    done = 0
-    while rounds is None or done < rounds:
+    while True:
         time.sleep(poll)
-        done += 1
         now = files.snapshot(root)
         changed = {p for p in now.keys() | seen.keys() if now.get(p) != seen.get(p)}
         seen = now
+        yield changed
+
+
+def watch(spark: SparkSession, root: str, rebuild: Callable[[list[str]], None], debounce: float = 3.0, poll: float = 5.0, rounds: int | None = None, lock: str | None = None, events: bool = True) -> int:
+    """Watch a tree and rebuild, debounced, with the paths that changed; returns how often. ``rounds`` bounds the loop."""
+    timer, pending, built = Debounce(debounce), set(), 0
+    lock = lock or str(Path(root) / ".weftgraph.lock")
+    for done, changed in enumerate(changes(root, poll, events), 1):
         if changed:
             pending |= changed
             timer.event()
@@ -93,6 +110,8 @@ def watch(spark: SparkSession, root: str, rebuild: Callable[[list[str]], None],
                     pending = set()
                 else:
                     timer.event()
+        if rounds is not None and done >= rounds:
+            break
     return built
 
 
