@@ -4,18 +4,22 @@ An Aho-Corasick automaton finds anchors in one pass over the text: at-signs, URL
 groups, and identifier cues in any case (``account``, ``iban``, ``password``, ``apiKey``, ...). At each, a deterministic parser
 expands to both sides and validates what it spans:
 
-* ``email``: local part and dotted domain around an at-sign, with an alphabetic top level;
-* ``url_credentials``: a URL that carries user and password before its host;
+* ``email``: local part and dotted domain around an at-sign, of any length, with an alphabetic top level;
+* ``url_credentials``: a URL that carries user and password before its host, up to white space, a quote or a closing bracket;
 * ``phone``: ``+`` and 8 to 15 digits in groups (ten after ``+1``), or ``(ddd) ddd-dddd`` / ``ddd-ddd-dddd``;
 * ``ip_address``: four numbers of 0 to 255;
 * ``card``: 13 to 19 digits, plain or in groups, that pass Luhn's check;
 * ``iban``: country, check digits and account with remainder 1 modulo 97; ``ssn``: ``ddd-dd-dddd`` in valid areas;
-* ``credential``: the value after ``password=``, ``token = "..."`` and their like, and access-key ids;
-* ``account``: an identifier of 6 or more characters with 5 or more digits after an account cue.
-
-Overlaps go to the earlier start, then the longer span, then the order above. Positions count characters.
-Defined cases: a null or empty text has no findings; a null doc_id is kept in findings as null; repeated rows give
-repeated findings; other columns are ignored (``redact`` keeps them, and brings ``n_chars`` up to date if it is there).
+* ``credential``: the value after ``password=``, ``token = "..."`` and their like, of 8 or more characters with a digit or
+  a sign among them (so ``password=correcthorsebattery`` isn't one), and access-key ids;
+* ``account``: an identifier of 6 to 34 characters with 5 or more digits after an account cue.
+
+Spans that overlap become one, of the kind that starts first, then is longer, then comes first above. Positions count characters.
+Every parser looks at each character a bounded number of times in all (at-signs part local parts and domains, slashes
+part authorities, an anchor within a URL or value that was found belongs to it), so time is linear in the text, however
+long and whatever it repeats. Defined cases: a null or empty text has no findings; an empty table gives no rows; a null
+doc_id is kept in findings as null; repeated rows give repeated findings; other columns are ignored (``redact`` keeps
+them, and brings ``n_chars`` up to date if it is there).
 """
 
 from __future__ import annotations
@@ -82,9 +86,9 @@ def automaton() -> ahocorasick.Automaton:
 
 def email_at(text: str, at: int) -> Span | None:
     start, end = at, at + 1
-    while start and text[start - 1] in LOCAL and at - start < 64:
+    while start and text[start - 1] in LOCAL:
         start -= 1
-    while end < len(text) and text[end] in HOST and end - at < 255:
+    while end < len(text) and text[end] in HOST:
         end += 1
     while start < at and text[start] in ".%+-":
         start += 1
@@ -99,15 +103,19 @@ def email_at(text: str, at: int) -> Span | None:
     return start, end, "email"
 
 
+AUTHORITY = re.compile(r"""[^\s"'<>)\]}/]*""")
+URL_END = re.compile(r"""[\s"'<>)\]}]""")
+
+
 def url_at(text: str, at: int) -> Span | None:
-    start, end = at, at + 3
-    while start and text[start - 1].isalpha() and text[start - 1].isascii() and at - start < 12:
+    start = at
+    while start and text[start - 1].isalpha() and text[start - 1].isascii():
         start -= 1
-    while end < len(text) and not text[end].isspace() and text[end] not in "\"'<>)]}":
-        end += 1
-    authority = text[at + 3 : end].split("/")[0]
-    user, _, host = authority.rpartition("@")
-    return (start, end, "url_credentials") if start < at and ":" in user and host else None
+    user, _, host = AUTHORITY.match(text, at + 3).group().rpartition("@")
+    if start == at or ":" not in user or not host:
+        return None
+    end = URL_END.search(text, at + 3)
+    return start, end.start() if end else len(text), "url_credentials"
 
 
 def whole(text: str, start: int, end: int) -> bool:
@@ -151,11 +159,16 @@ def digits_at(text: str, at: int) -> Span | None:
     if (m := LOCAL_PHONE.match(text, opened)) and whole(text, opened, m.end()):
         return opened, m.end(), "phone"
     if start > 1 and text[start - 2 : start].isascii() and text[start - 2 : start].isupper() and (m := IBAN.match(text, start - 2)) and not (start > 2 and WORD.match(text[start - 3])):
-        # the longest valid account among the groups that match
-        for end in range(m.end(), start + 12, -1):
-            code = text[start - 2 : end].replace(" ", "")
-            if 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
-                return start - 2, end, "iban"
+        # the longest valid account among the groups that match: remainders of what follows the head, then of the head
+        head, rest, n, end = int("".join(str(int(c, 36)) for c in text[start - 2 : start + 2])), 0, 4, 0
+        for k in range(start + 2, m.end()):
+            if text[k] != " ":
+                v = int(text[k], 36)
+                rest, n = (rest * (10 if v < 10 else 100) + v) % 97, n + 1
+                if 15 <= n <= 34 and (rest * 10**6 + head) % 97 == 1:
+                    end = k + 1
+        if end:
+            return start - 2, end, "iban"
     return None
 
 
@@ -181,7 +194,7 @@ def find(text: str | None) -> list[Span]:
     if not text:
         return []
     spans: set[Span] = set()
-    past = -1
+    past = inside_url = inside_value = -1
     for last, (kind, length) in automaton().iter(low if len(low := text.lower()) == len(text) else text.translate(LOWER)):
         at, got = last - length + 1, None
         if kind == "digits":
@@ -196,19 +209,28 @@ def find(text: str | None) -> list[Span]:
         elif kind == "plus":
             got = plus_at(text, at)
         elif kind == "scheme":
-            got = url_at(text, at)
+            if at >= inside_url and (got := url_at(text, at)):
+                inside_url = got[1]
         elif kind == "secret":
-            got = secret_at(text, last + 1)
+            if at >= inside_value and (got := secret_at(text, last + 1)):
+                inside_value = got[1]
         elif kind == "account":
             got = account_at(text, at, last + 1)
         elif (m := ACCESS_KEY.match(text, at)) and not (at and WORD.match(text[at - 1])):
             got = at, m.end(), "credential"
         if got:
             spans.add(got)
+    return united(spans)
+
+
+def united(spans: set[Span]) -> list[Span]:
+    """Spans in order, those that overlap made one of the first's kind."""
     out: list[Span] = []
     for s in sorted(spans, key=lambda s: (s[0], -s[1], KINDS.index(s[2]))):
         if not out or s[0] >= out[-1][1]:
             out.append(s)
+        elif s[1] > out[-1][1]:
+            out[-1] = out[-1][0], s[1], out[-1][2]
     return out
 
 
