@@ -9,8 +9,9 @@ import re
 import duckdb
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from weftgraph.llm import bpe, entry, jaccard, mixing, pii, sharding, topk
@@ -47,6 +48,27 @@ def test_mixture_is_the_queue(table_of, budget):
     assert got == queue(rows, weights, 1.0, budget)
 
 
+@given(
+    st.lists(st.tuples(st.integers(0, 4), st.integers(0, 3), st.sampled_from(["s0", "s1", "s2", None])), min_size=1, max_size=25),
+    st.integers(0, 30),
+)
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+def test_mixed_documents_are_the_mixtures_rows(table_of, rows, budget):
+    """With repeated doc_ids, a source of weight 0 and one of weight 0.001: the same rows as the mixture, within budget."""
+    weights = {"s0": 3.0, "s1": 0.0, "s2": 0.001}
+    df = table_of([(d, "w " * n, "en", s, 2 * n) for d, n, s in rows])
+    want = sorted(((r.doc_id, r.source, r.tokens) for r in mixing.mixture(df, weights, 1.0, budget=budget).collect()), key=str)
+    got = sorted(((r.doc_id, r.source, len(r.text.split())) for r in mixing.mixed_documents(df, weights, 1.0, budget=budget, task_rows=4).collect()), key=str)
+    assert got == want and sum(g[2] for g in got) <= budget and all(g[1] != "s1" for g in got)
+
+
+def test_ranges_are_even_whatever_the_weights(spark):
+    rows = [(k, "a b c", "en", "s0" if k % 100 else "s1", 5) for k in range(4000)]
+    ranged, taken = mixing._taken(spark.createDataFrame(rows, DOCS), {"s1": 0.0001}, 1.0, 0.8, None, "x", 500)
+    sizes = [r["count"] for r in ranged.groupBy("range").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1000 and taken.count() == 3200
+
+
 def test_mixture_of_documents_keeps_columns_and_targets(table_of, spark, docs):
     df = table_of(HARD)
     assert mixing.mixed_documents(df).columns == df.columns and mixing.mixture(spark.createDataFrame([], DOCS)).isEmpty()
@@ -151,7 +173,7 @@ def test_sql_of_top_k(spark):
     p = df.inputFiles()
     c.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet({[x.removeprefix('file://') for x in p]})")
     want = {(a, r, b, round(s, 6)) for a, r, b, s in c.execute(topk.sql()).fetchall()}
-    assert {(r.vec_id, r.rank, r.neighbour_id, round(r.score, 6)) for r in topk.top_k(df).collect()} == want
+    assert {(r.vec_id, r.rank, r.neighbour_id, round(r.score, 6)) for r in topk.top_k(df, queries=F.col('vec_id') % topk.EVERY == 0).collect()} == want
 
 
 def test_pipeline_stage_by_stage(spark):
@@ -164,17 +186,8 @@ def test_pipeline_stage_by_stage(spark):
     # groups by brute force
     from .test_jaccard import brute
 
-    root = {r.doc_id: r.doc_id for r in rows}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in brute([(r.doc_id, r.text) for r in rows]):
-        x, y = sorted((find(a), find(b)))
-        root[y] = x
-    rows = [(r.doc_id, pii.masked(r.text), r.lang, r.source, 0) for r in rows if find(r.doc_id) == r.doc_id]
+    first = {d for d, c, _, _ in brute([(r.doc_id, r.text) for r in rows]) if c == d}
+    rows = [(r.doc_id, pii.masked(r.text), r.lang, r.source, 0) for r in rows if r.doc_id in first]
     want = [x[0] for x in queue(rows, mixing.WEIGHTS, mixing.DEFAULT_WEIGHT, None)]
     text = {r[0]: r[1] for r in rows}
     got = cp.run(spark, d).collect()
