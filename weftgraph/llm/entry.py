@@ -95,4 +95,4 @@ FROM g JOIN low USING (r) LEFT JOIN sums ON sums.ra = g.r"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk_threshold": topk.sql(), "op4_mix_fair_queue": mixing.sql(), "op9_ngram_jaccard_join": JACCARD_SQL}
+    return {"op3_topk_threshold": topk.sql(), "op4_mix_fair_queue": mixing.sql(), "op7_shards_lpt": sharding.sql(), "op9_ngram_jaccard_join": JACCARD_SQL}

@@ -8,7 +8,7 @@ The order is a range partitioning written to the shared folder. The heap's state
 counts by (range, size) alone: groups of one size fill shards up level by level. So the driver sees one row for each
 distinct size of a range, never a group, and every range then runs its own heap from its state, all at once.
 
-Defined cases: a null text is a group with the empty one; a null doc_id is assigned as any other; repeated rows count
+Defined cases: a null text is a group with the empty one; a very long text counts whole; a null doc_id is assigned as any other; repeated rows count
 and are assigned each; an empty table gives no rows; other columns are ignored; with fewer groups than shards some
 shards stay empty.
 """
@@ -93,3 +93,14 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, range_groups: int = R
     rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key"), (F.coalesce(F.length("text"), F.lit(0)) + 1).cast("long").alias("size")))
     placed = schedule(rows.groupBy("key").agg(F.sum("size").alias("size")), shards, range_groups)
     return rows.select("doc_id", F.col("key").alias("group_key")).join(placed.select("key", F.col("size").alias("group_size"), "shard"), F.col("group_key") == F.col("key")).drop("key")
+
+
+def sql(shards: int = SHARDS) -> str:
+    """DuckDB's form of ``shard_documents`` over ``documents``: a group a step, with all loads in a list."""
+    least = "list_position(r.loads, list_min(r.loads))"
+    return f"""
+WITH RECURSIVE g AS (SELECT md5(coalesce(text, '')) AS key, CAST(sum(length(coalesce(text, '')) + 1) AS BIGINT) AS size FROM documents GROUP BY 1),
+o AS MATERIALIZED (SELECT key, size, row_number() OVER (ORDER BY size DESC, key) AS rn FROM g),
+r AS (SELECT CAST(0 AS BIGINT) AS rn, '' AS key, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS shard, list_transform(range({shards}), lambda x: CAST(0 AS BIGINT)) AS loads
+      UNION ALL SELECT o.rn, o.key, o.size, {least} - 1, list_concat(list_concat(r.loads[:{least} - 1], [list_min(r.loads) + o.size]), r.loads[{least} + 1:]) FROM r JOIN o ON o.rn = r.rn + 1)
+SELECT d.doc_id, r.key AS group_key, r.size AS group_size, CAST(r.shard AS INTEGER) AS shard FROM documents d JOIN r ON md5(coalesce(d.text, '')) = r.key AND r.rn > 0"""
