@@ -14,7 +14,7 @@ from weftgraph.operators import measure
 from weftgraph.plans import pipeline
 from weftgraph.services import environment
 from weftgraph.services.rpc import Service, serve
-from weftgraph.session import session
+from weftgraph.session import exists, session
 from weftgraph.sinks import jsongraph, pages
 from weftgraph.sinks.lines import cypher
 from weftgraph.sources import files as tree
@@ -90,6 +90,8 @@ def read(spark, path: str):
 
 
 def outputs(graph, root: str, out: str, viz: bool, force: bool, files: int | None = None) -> None:
+    """Documents for people and other tools, written on the driver's machine."""
+    os.makedirs(out, exist_ok=True)
     commit = pipeline.git_head(root)
     Path(out, "REPORT.md").write_text(pages.report(graph, root, files, commit), encoding="utf-8")
     jsongraph.write(graph, f"{out}/graph.json", commit, force)
@@ -138,7 +140,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     os.environ.update(dotenv())
     spark = spark or session(os.environ.get("WEFTGRAPH_MASTER", "local[*]"))
     out = args.out
-    if args.command in ("query", "path", "explain", "stats", "cluster-only", "export", "serve") and not Path(out, "nodes.parquet").exists():
+    if args.command in ("query", "path", "explain", "stats", "cluster-only", "export", "serve") and not exists(spark, f"{out}/nodes.parquet"):
         print(f"no graph in {out}", file=sys.stderr)
         return 1
     match args.command:
@@ -208,7 +210,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
                 graph = pipeline.run(spark, args.path, out, update=True)
                 outputs(graph, args.path, out, False, True)
 
-            if not Path(out, "nodes.parquet").exists():
+            if not exists(spark, f"{out}/nodes.parquet"):
                 rebuild([])
             watching.watch(spark, args.path, rebuild, args.debounce, args.poll, args.rounds, f"{out}/.lock", not args.no_events)
         case "serve":

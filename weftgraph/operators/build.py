@@ -80,8 +80,9 @@ def simple_graph(edges: DataFrame, directed: bool = True) -> DataFrame:
 def duplicates(nodes: DataFrame) -> DataFrame:
     """(id, winner): nodes of equal type and normalised label, to the one without chunk suffix, then of shorter, then lesser id. Labels that normalise to nothing are never merged."""
     named = nodes.select("id", "sf_type", norm_label("label").alias("_norm")).where("_norm <> ''")
-    w = Window.partitionBy("sf_type", "_norm").orderBy(F.col("id").rlike("_c[0-9]+$"), F.length("id"), "id")
-    return named.withColumn("winner", F.first("id").over(w)).where("id <> winner").select("id", "winner")
+    # the winner is aggregated and joined back: no label, however common, is one task's window
+    best = named.groupBy("sf_type", "_norm").agg(F.min(F.struct(F.col("id").rlike("_c[0-9]+$").alias("chunk"), F.length("id").alias("n"), "id")).alias("best"), F.count("*").alias("many")).where("many > 1")
+    return named.join(best, ["sf_type", "_norm"]).select("id", F.col("best.id").alias("winner")).where("id <> winner")
 
 
 def deduplicate(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

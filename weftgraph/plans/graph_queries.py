@@ -360,10 +360,11 @@ def dominant_confidence(spark, d):
 # --- joins, dedup, set operations
 
 
-@query("SELECT DISTINCT 'customer_' || o_custkey AS id, 'Customer ' || o_custkey AS label, 'Customer' AS sf_type, true AS stub FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+@query(f"WITH {E}, k AS (SELECT id FROM ({T.NODES_SQL}) WHERE id NOT IN (SELECT 'customer_' || c_custkey FROM customer WHERE c_acctbal <= 0)), s AS (SELECT DISTINCT id FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) WHERE id NOT IN (SELECT id FROM k)) SELECT id, 'Customer ' || id[10:] AS label, 'Customer' AS sf_type, true AS stub FROM s WHERE starts_with(id, 'customer_')")
 def stub_nodes(spark, d):
-    known = T.read(spark, d, "customer").where("c_acctbal > 0").select(F.concat(F.lit("customer_"), "c_custkey").alias("id"))
-    edges = T.edges(spark, d).where("target like 'customer%'")
+    """Stubs for the ends of all edges where customers in debt have no node."""
+    nodes, edges = graph(spark, d)
+    known = nodes.join(T.read(spark, d, "customer").where("c_acctbal <= 0").select(F.concat(F.lit("customer_"), "c_custkey").alias("id")), "id", "left_anti")
     got = build.stub_nodes(known, edges, {"customer_": "Customer"})
     return got.withColumn("label", F.concat(F.lit("Customer "), "label"))
 
@@ -394,12 +395,11 @@ def dedup_by_label(spark, d):
 
 
 @query(
-    "WITH w AS (SELECT 'customer_' || c_custkey AS id, first_value('customer_' || c_custkey) OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY length('customer_' || c_custkey), c_custkey) AS winner FROM customer) SELECT 'orders_' || o_orderkey AS source, winner AS target FROM orders JOIN w ON id = 'customer_' || o_custkey UNION ALL SELECT 'orders_' || l_orderkey, 'part_' || l_partkey FROM lineitem"
+    f"WITH {E}, w AS (SELECT 'customer_' || c_custkey AS id, first_value('customer_' || c_custkey) OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY length('customer_' || c_custkey), c_custkey) AS winner FROM customer) SELECT coalesce(a.winner, source) AS source, coalesce(b.winner, target) AS target FROM edges LEFT JOIN w a ON a.id = source LEFT JOIN w b ON b.id = target"
 )
 def dedup_rewrites_edges(spark, d):
     nodes = T.read(spark, d, "customer").select(F.concat(F.lit("customer_"), "c_custkey").alias("id"), F.concat_ws(" ", "c_mktsegment", "c_nationkey").alias("label"), F.lit("Segment").alias("sf_type"))
-    edges = T.edges(spark, d).where("source like 'orders%'").select("source", "target")
-    return build.deduplicate(nodes, edges)[1]
+    return build.deduplicate(nodes, T.edges(spark, d).select("source", "target"))[1]
 
 
 @query("SELECT DISTINCT 'orders_' || o_orderkey AS source, 'customer_' || o_custkey AS target, 'references' AS relation FROM orders")

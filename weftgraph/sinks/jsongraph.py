@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,16 +26,20 @@ def edge_rows(graph: Graph) -> DataFrame:
 
 def write(graph: Graph, path: str, commit: str | None = None, force: bool = False) -> bool:
     """Write the document, unless it would replace one of more nodes and ``force`` isn't set. Rows are streamed, not held."""
-    target = Path(path)
+    target, count = Path(path), graph.nodes.count()
     if target.exists() and not force:
         try:
-            if len(json.loads(target.read_text())["nodes"]) > graph.nodes.count():
+            with open(target, encoding="utf-8") as f:
+                said = re.match(r'{"directed": true, "multigraph": true, "graph": {"node_count": (\d+)}', f.read(200))
+            # a document of other tools doesn't say its number of nodes first
+            before = int(said[1]) if said else len(json.loads(target.read_text())["nodes"])
+            if before > count:
                 return False
         except (ValueError, KeyError, TypeError):
             pass
     aside = f"{path}.new"
     with open(aside, "w", encoding="utf-8") as f:
-        f.write('{"directed": true, "multigraph": true, "graph": {}, ')
+        f.write(f'{{"directed": true, "multigraph": true, "graph": {{"node_count": {count}}}, ')
         for name, df, order in (("nodes", node_rows(graph), ["id"]), ("links", edge_rows(graph), ["source", "target", "key"])):
             f.write(f'"{name}": [')
             text = df.orderBy(*order).select(F.to_json(F.struct("*")).alias("j"))

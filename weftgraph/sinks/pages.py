@@ -238,7 +238,9 @@ def report(graph: Graph, root: str, files: int | None = None, commit: str | None
     inferred = f" · INFERRED: {audit['INFERRED'].n} edges (avg confidence: {audit['INFERRED'].mean_score})" if "INFERRED" in audit else ""
     info = named(g)
     shown = info.where(~measure.noise())
-    groups = shown.groupBy("community", "community_label").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("label")), 1, 8).alias("some"))
+    place = F.row_number().over(Window.partitionBy("community").orderBy("label", "id"))
+    first = shown.select("community", "label", place.alias("_n")).where("_n <= 8").groupBy("community").agg(F.array_sort(F.collect_list("label")).alias("some"))  # eight at most
+    groups = shown.groupBy("community", "community_label").agg(F.count("*").alias("n")).join(first, "community")
     count = g.members.select("community").distinct().count()
     n_thin = groups.where(F.col("n") < thin).count()
     big = groups.where(F.col("n") >= thin).join(measure.cohesion(g.edges, g.members).select("community", "cohesion"), "community").orderBy("community").limit(top).collect()
@@ -259,8 +261,9 @@ def report(graph: Graph, root: str, files: int | None = None, commit: str | None
     doubt = g.edges.where("confidence = 'AMBIGUOUS'").orderBy("source", "target", "relation").limit(top).collect()
     if doubt:
         out += ["", "## Ambiguous Edges", *[f"- `{r.source}` → `{r.target}`  [AMBIGUOUS] {r.relation}" for r in doubt]]
-    lone = shown.where((F.col("degree") <= 1) & ~measure.concept()).agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("label")), 1, 5).alias("some")).first()
-    if lone.n or n_thin:
-        out += ["", "## Knowledge Gaps", f"- **{lone.n} isolated node(s):** {', '.join(f'`{x}`' for x in lone.some)}", f"- **{n_thin} thin communities (<{thin} nodes) omitted**"]
+    alone = shown.where((F.col("degree") <= 1) & ~measure.concept()).select("id", "label")
+    n_lone, some = alone.count(), [r.label for r in alone.orderBy("label", "id").limit(5).collect()]
+    if n_lone or n_thin:
+        out += ["", "## Knowledge Gaps", f"- Nodes with one edge or none: {n_lone}" + (f", among them {', '.join(f'`{x}`' for x in some)}" if some else ""), f"- **{n_thin} thin communities (<{thin} nodes) omitted**"]
     out += ["", "## Suggested Questions", *[f"- **{r.question}**" for r in analyse.questions(g.nodes, g.edges, g.members, communities.betweenness(g.nodes, g.edges)).collect()]]
     return "\n".join(out) + "\n"
