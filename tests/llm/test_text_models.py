@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weftgraph.llm import entry, langid, markov, pii, toxicity
+from weftgraph.llm.common import strip_word
 
 from .conftest import DOCS, HARD
 
@@ -55,6 +56,42 @@ def test_languages_of_held_out_and_switched_texts(big):
     assert np.mean([model.langs[x] == langs[k >= half] for k, x in enumerate(lab)]) > 0.85
 
 
+def test_languages_of_the_query_are_the_chains_marginals(spark):
+    """Features, sums, messages, votes and segments written out plainly, for the query's own model."""
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    m = langid.train(docs)
+    a, n = np.exp(m.transitions), len(m.langs)
+
+    def score(word):
+        ends = f"^{word}$"
+        names = ["p" + word[:k] for k in (1, 2, 3)] + ["s" + word[-k:] for k in (1, 2, 3, 4)]
+        names += [ends[i : i + k] for k in (2, 3) for i in range(len(ends) - k + 1)] + list(m.lexicon.get(word, ()))
+        return sum((m.weights[m.index[f]] for f in names if f in m.index), np.zeros(n))
+
+    got = {r.doc_id: r for r in entry.op1_langid_crf(spark, d).collect()}
+    for r in docs.where("length(text) < 3000").collect()[:60]:
+        words = [w for w in (strip_word(x) for x in re.split("[ \\t\\n\\r\\f\\v]+", r.text or "")) if w]
+        if not words:
+            assert got[r.doc_id].lang is None
+            continue
+        psi = [np.exp(s - s.max()) for s in map(score, words)]
+        ahead, behind = [psi[0] / psi[0].sum()], [np.ones(n)]
+        for p in psi[1:]:
+            v = (ahead[-1] @ a) * p
+            ahead.append(v / v.sum())
+        for p in psi[:0:-1]:
+            v = a @ (p * behind[0])
+            behind.insert(0, v / v.sum())
+        post = [x * y / (x * y).sum() for x, y in zip(ahead, behind, strict=True)]
+        best = [int(p.argmax()) for p in post]
+        starts = [k for k, b in enumerate(best) if not k or b != best[k - 1]]
+        votes = np.bincount(best, minlength=n)
+        assert got[r.doc_id].n_words == len(words) and got[r.doc_id].lang == m.langs[votes.argmax()]
+        assert got[r.doc_id].segment_starts == starts and got[r.doc_id].segment_langs == [m.langs[best[k]] for k in starts]
+        assert abs(got[r.doc_id].certainty - np.mean([p.max() for p in post])) < 1e-6
+
+
 def test_language_of_hard_rows(table_of, spark):
     df = table_of(HARD)
     got = {r.doc_id: r for r in langid.label(df, langid.train(df)).collect()}

@@ -10,7 +10,8 @@ marginal of each word, again by forward-backward over the whole document.
 A word is a run of non-white-space characters without outer punctuation, lower-cased; runs without letters or digits
 aren't words. Defined cases: a text that is null, empty or without words has language null and no segments; without
 labelled documents every word is ``und``; rows whose lang is null or empty are labelled but not trained on; repeated
-rows are labelled each; other columns are ignored.
+rows are labelled each; a null doc_id is labelled and kept as null; a very long text is one sequence, whole; of languages of
+as many words (or of equal posterior) the first by name is taken; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

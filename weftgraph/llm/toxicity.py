@@ -9,8 +9,9 @@ many of their words the training rows show to be tell-tale, cut at the quantiles
 ``expected_severity`` is ``sum(k * P(grade = k))``; a document is toxic where ``P(grade >= 1) >= 0.5``.
 
 Defined cases: a null or empty text scores as one without features; labels that are null, absent, empty or
-of one class only leave a model that finds nothing; repeated and contradictory labels all count as rows;
-columns besides ``doc_id`` and ``text`` are ignored (``drop_toxic`` keeps them as they are).
+of one class only leave a model that finds nothing; repeated and contradictory labels all count as rows; a null doc_id is
+scored and kept as null; a very long text is scored whole; of grades of equal probability the lowest is named; repeated rows
+are scored each; an empty table gives no rows; columns besides ``doc_id`` and ``text`` are ignored (``drop_toxic`` keeps them as they are).
 """
 
 from __future__ import annotations
