@@ -156,6 +156,11 @@ def test_any_text_comes_back(texts):
     assert [ids[i:j].tolist() for i, j in zip(bounds[:-1], bounds[1:], strict=True)] == [reference(t) for t in texts]
 
 
+def test_other_pre_tokenisers_are_refused():
+    with pytest.raises(ValueError):
+        bpe.Codec("/opt/tokenizers/word_bpe_49k.json")
+
+
 def test_tokens_of_hard_rows(table_of, spark):
     df = table_of(HARD)
     got = bpe.encode(df)

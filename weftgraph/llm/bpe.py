@@ -8,7 +8,9 @@ character (one split over tokens) gets that character's offset. Decoding maps to
 characters, joins them, and reads the whole as UTF-8, so characters split over tokens come back whole.
 
 Defined cases: a null or empty text has no tokens, and decodes to an empty text; strings of special tokens are ordinary
-text; any Unicode text round-trips; other columns are ignored by ``encode``; repeated rows are encoded each.
+text; any Unicode text round-trips, very long ones whole; a null doc_id is kept as null; an empty table gives no rows; other
+columns are ignored by ``encode``; repeated rows are encoded each. Pre-tokens are those of the byte-level pre-tokeniser with
+its usual pattern; ``codec`` refuses a vocabulary file whose pre-tokeniser is another.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from weftgraph.llm.common import arrow_map, list_array, texts
 
@@ -32,6 +35,8 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 LOOSE = r" (?:[\s\v\x1c-\x1f\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|\z)"
 #: Characters that are neither letters, digits, white space nor the start of a contraction.
 MARKS = ".,;:!?*&%$#|()-\""
+#: Text encoded at a time: offsets and indexes take some fifty bytes a byte of it.
+ENCODE_BYTES = 1 << 20
 #: Distinct pre-tokens whose tokens a worker remembers.
 MEMORY = 150_000
 
@@ -53,6 +58,9 @@ class Codec:
 
     def __init__(self, path: str) -> None:
         tokenizer = Tokenizer.from_file(path)
+        said = tokenizer.pre_tokenizer
+        if not isinstance(said, ByteLevel) or said.add_prefix_space or not said.use_regex:
+            raise ValueError(f"{path} pre-tokenises otherwise than byte-level BPE does: {said}")
         self.model = tokenizer.model
         self.to_chars = {b: c for b, c in enumerate(byte_chars())}
         self.ascii = str.maketrans({chr(b): c for b, c in self.to_chars.items() if b < 128})
@@ -175,7 +183,7 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             names=["doc_id", "token_ids", "token_starts", "n_tokens", "round_trip"],
         )
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, token_ids array<int>, token_starts array<int>, n_tokens int, round_trip int")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, token_ids array<int>, token_starts array<int>, n_tokens int, round_trip int", most=ENCODE_BYTES)
 
 
 def decode(tokens: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:

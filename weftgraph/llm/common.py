@@ -110,12 +110,12 @@ def tidied(fn: Callable) -> Callable:
     return run
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch | pa.Table]], schema, by: str | None = "text") -> DataFrame:
-    """``mapInArrow`` over slices of at most ``SLICE_BYTES`` of column ``by`` (a longer row is a slice of its own)."""
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch | pa.Table]], schema, by: str | None = "text", most: int = SLICE_BYTES) -> DataFrame:
+    """``mapInArrow`` over slices of at most ``most`` bytes of column ``by`` (a longer row is a slice of its own)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, by):
+            for part in slices(batch, by, most):
                 for out in fn(part):
                     yield from out.to_batches() if isinstance(out, pa.Table) else (out,)
 
@@ -123,7 +123,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
     return df.mapInArrow(tidied(run), schema)
 
 
-def slices(batch: pa.RecordBatch, by: str | None) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, by: str | None, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     if by is None or batch.num_rows < 2:
         yield batch
         return
@@ -131,7 +131,7 @@ def slices(batch: pa.RecordBatch, by: str | None) -> Iterator[pa.RecordBatch]:
     start = 0
     while start < batch.num_rows:
         base = size[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(size, base + SLICE_BYTES, "right")))
+        end = max(start + 1, int(np.searchsorted(size, base + most, "right")))
         yield batch.slice(start, end - start)
         start = end
 
