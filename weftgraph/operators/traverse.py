@@ -1,8 +1,9 @@
 """Neighbourhoods, impact, shortest paths: frontier joins, level by level.
 
-The edges to walk are written once, narrow, and a step joins the frontier with them, drops what has been visited, and is
-written to the shared folder, so lineage doesn't grow with depth and lost executors cost one step at most. The planner
-knows each table's true size, so a small frontier is broadcast and a large one shuffled.
+A step joins the frontier with the edges, drops what has been visited, and is written to the shared folder, so lineage
+doesn't grow with depth and lost executors cost one step at most. The planner knows each step's true size, so a small
+frontier is broadcast and a large one shuffled. Walks of no fixed depth write their edges once, narrow and distinct; those of
+a few hops scan the columns that they need at each.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def impact(edges: DataFrame, start: DataFrame, direction: str = "forward", depth
         walk = walk.where(F.lower("relation") == relation.lower())
     if not inferred:
         walk = walk.where(F.coalesce("confidence", F.lit("EXTRACTED")) == "EXTRACTED")
-    walk = cut(walk.select("source", "target", "relation")) if depth > 1 else walk
+    walk = walk.select("source", "target", "relation")
     frontier = start.select("id").distinct()
     visited = frontier
     found = start.select("id", F.lit(0).alias("depth"), F.lit("").alias("relations")).where(F.lit(False))
