@@ -27,6 +27,7 @@ count as one (the least usable vector); equal vectors have cosine 1; an empty ta
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations, product
 
 import numpy as np
@@ -164,7 +165,7 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, count: int = TABLES
         nodes = rows.join(small(copies.where("_id <> node"), 24), F.col("id") == F.col("_id"), "left_anti")
         top = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
         dim, scale = top.d or 8, scale_for(top.n)
-        links = materialise(candidates(nodes, dim, tables_for(scale, dim, threshold, probes, count), scale, probes, signs_apart(threshold), hot, top.n))
+        links = candidates(nodes, dim, tables_for(scale, dim, threshold, probes, count), scale, probes, signs_apart(threshold), hot, top.n)
         outer = stars.outer_stars(links).join(small(copies.where("_id = node"), 24), F.col("id") == F.col("_id"), "left").select("id", "comps", F.coalesce("copies", F.lit(1)).alias("copies"))
         held = materialise(outer)
         discard(links)
@@ -205,7 +206,7 @@ def compare(block: stars.Block, t: float, step: int = 256) -> tuple[np.ndarray,
 
 
 def candidates(nodes: DataFrame, dim: int, count: int, scale: float, probes: int, apart: int, hot: int, n: int) -> DataFrame:
-    """Stars ``(src, dst)`` of vectors that meet in one of ``count`` tables and have similar signs."""
+    """Stars ``(src, dst)``, materialised, of vectors that meet in one of ``count`` tables and have similar signs."""
     projections, signs = tables(dim, count)
     found = []
     for first in range(0, count, TOGETHER):
@@ -222,10 +223,12 @@ def candidates(nodes: DataFrame, dim: int, count: int, scale: float, probes: int
             met = _met(cells.join(small(crowded, 24), inside, "left_anti"), parts, apart).unionAll(cells.join(small(crowded, 24), inside).select("src", F.col("id").alias("dst")).where("src <> dst"))
         found.append(materialise(met.distinct()))
         discard(hashed)
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionAll(more)
-    return every.distinct()
+    if len(found) == 1:
+        return found[0]
+    every = materialise(reduce(DataFrame.unionAll, found).distinct())
+    for df in found:
+        discard(df)
+    return every
 
 
 def _hashed(nodes: DataFrame, projections: list[np.ndarray], signs: np.ndarray, scale: float, probes: int, first: int) -> DataFrame:
