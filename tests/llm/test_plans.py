@@ -52,7 +52,7 @@ def test_mixture_is_the_queue(table_of, budget):
     st.lists(st.tuples(st.integers(0, 4), st.integers(0, 3), st.sampled_from(["s0", "s1", "s2", None])), min_size=1, max_size=25),
     st.integers(0, 30),
 )
-@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 def test_mixed_documents_are_the_mixtures_rows(table_of, rows, budget):
     """With repeated doc_ids, a source of weight 0 and one of weight 0.001: the same rows as the mixture, within budget."""
     weights = {"s0": 3.0, "s1": 0.0, "s2": 0.001}

@@ -1,9 +1,11 @@
 """Exact top-k by dot product with the threshold algorithm over sorted per-dimension lists.
 
 Vectors are cut into blocks. Each block keeps, for every dimension, its rows sorted by that coordinate. A query walks
-all lists at once from the end that its own coordinate's sign prefers (sorted access, the depth doubling), scores each
+the lists at once from the end that its own coordinate's sign prefers (sorted access, the depth doubling), scores each
 new row in full (random access), and bounds every unseen row by the sum over dimensions of its coordinate times the
-last value seen. It stops once the bound is below its k-th best, or when no row is unseen. New rows are scored
+last value seen. Lists that together can move scores by less than ``IDLE`` of all aren't read: their first value stands in
+the bound, and rows that only they would bring first aren't scored for nothing. It stops once the bound is below its
+k-th best, or when no row is unseen (one list read to its end brings all). New rows are scored
 together in single precision; those that may be among the best are scored again, each by itself, in double precision.
 
 Every row stands in a block; queries are the rows that ``queries`` says, all without it; a query's own vec_id is no
@@ -35,8 +37,10 @@ QUERY_ROWS = 65_536
 LEAST_ROWS = 4_096
 #: Every so manieth row is a query of the registered query.
 EVERY = 20
+#: The share of the spread of scores whose lists, the least first, aren't read.
+IDLE = 0.05
 #: Depth of the first sorted access; each further one doubles it.
-START = 16
+START = 32
 DIGITS = 9
 
 
@@ -49,6 +53,7 @@ class Lists:
         self.single = self.x.astype(np.float32)
         self.longest = float(np.sqrt((self.x * self.x).sum(1).max())) if len(ids) else 0.0
         self.order = np.ascontiguousarray(np.argsort(self.x, 0, kind="stable").T)
+        self.spread, self.top, self.bottom = (f(self.x, 0) for f in (np.std, np.max, np.min)) if len(ids) else (np.zeros(self.x.shape[1]),) * 3
 
     def scores(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Rounded dot products, each row summed by itself, so equal rows tie exactly."""
@@ -58,6 +63,11 @@ class Lists:
         """Row numbers and scores of the best k for ``q``, how deep its lists were read, and how many rows were scored."""
         n = len(self.ids)
         live = np.flatnonzero(q)
+        weight = np.abs(q[live]) * self.spread[live]
+        by = np.argsort(weight)
+        few = int((np.cumsum(weight[by]) < IDLE * weight.sum()).sum())
+        idle, live = live[by[:few]], live[by[few:]]
+        fixed = float(np.maximum(q[idle] * self.top[idle], q[idle] * self.bottom[idle]).sum())
         high, low = live[q[live] > 0], live[q[live] < 0]
         single, slack = q.astype(np.float32), 1e-5 * (1 + self.longest * float(np.sqrt((q * q).sum())))
         seen, done = np.zeros(n, bool), np.zeros(n, bool)
@@ -83,7 +93,7 @@ class Lists:
             least = score[-1] if len(score) == k else np.partition(rough, len(rough) - k)[len(rough) - k] if len(rough) > k else -math.inf
             new = new[rough >= least - slack]
             rows, score = self._best(np.append(rows, new), np.append(score, self.scores(new, q)), k)
-            bound = float((q[high] * self.x[self.order[high, n - to], high]).sum() + (q[low] * self.x[self.order[low, to - 1], low]).sum())
+            bound = fixed + float((q[high] * self.x[self.order[high, n - to], high]).sum() + (q[low] * self.x[self.order[low, to - 1], low]).sum())
             if len(score) == k and bound + 2e-9 < score[-1]:
                 break
         return rows, score, depth, scored
