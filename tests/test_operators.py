@@ -121,6 +121,65 @@ def test_communities_by_joins_are_those_of_one_task(spark):
     assert one == joins and one == {x: f"{x[0]}0" for x in one}
 
 
+def two_sided(n, pairs, seed):
+    """Random pairs between the first fifth of ``n`` numbers and the rest, and a hash of each number."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    a, b = rng.integers(n // 5, size=pairs), rng.integers(n // 5, n, size=pairs)
+    key = np.unique(a * n + b)
+    return key // n, key % n, rng.integers(0, 1 << 62, n)
+
+
+def test_communities_come_to_rest_in_one_piece():
+    """Where half of the nodes moved at a time they swung until the sweeps ended, and some were left without a neighbour inside."""
+    import numpy as np
+
+    n = 600
+    a, b, h = two_sided(n, 2400, 1)
+    for w in (np.ones(len(a)), 1.0 + h[a] % 7):
+        member = communities.louvain(a, b, w, h, levels=1)
+        degree, total = np.bincount(a, w, n) + np.bincount(b, w, n), 2 * w.sum()
+        load = np.bincount(member, degree, n)
+        same = member[a] == member[b]
+        assert (communities.pieces(n, a[same], b[same]) == member).all()
+        to = np.zeros((n, n))
+        np.add.at(to, (a, member[b]), w)
+        np.add.at(to, (b, member[a]), w)
+        own = np.arange(n), member
+        gain = to - degree[:, None] * load[None] / total
+        gain[own] += degree * degree / total
+        assert (np.where(to > 0, gain, -np.inf).max(1) <= gain[own] + 1e-9).all()
+    a, b, h = two_sided(n, 2400, 146)
+    member = communities.louvain(a, b, np.ones(len(a)), h)
+    same = member[a] == member[b]
+    assert (communities.pieces(n, a[same], b[same]) == member).all()
+
+
+def test_communities_by_joins_come_to_the_same_rest(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    a, b, _ = two_sided(40, 120, 3)
+    e = edges(spark, *[(f"n{x:02}", f"n{y:02}") for x, y in zip(a, b, strict=True)])
+    pairs = communities.undirected(e).select(F.lit("p").alias("part"), "a", "b", (F.col("weight") * communities.UNIT).cast("long").alias("w"))
+    monkeypatch.setattr(communities.Pace, "IDLE", 1)
+    monkeypatch.setattr(communities.Pace, "BITS", 2)
+    firsts, places = [], communities.Pace.places
+    monkeypatch.setattr(communities.Pace, "places", lambda self, n: firsts.append(places(self, n)) or firsts[-1])
+    joins = {r.id: r.lead for r in communities.partition(pairs, 1).collect()}
+    assert None in firsts and len(set(joins.values())) > 1
+    ids = sorted(joins)
+    number = {x: k for k, x in enumerate(ids)}
+    import numpy as np
+
+    rows = pairs.withColumn("h", F.xxhash64("a")).withColumn("hb", F.xxhash64("b")).collect()
+    h = np.zeros(len(ids), np.int64)
+    for r in rows:
+        h[number[r.a]], h[number[r.b]] = r.h, r.hb
+    one = communities.louvain(*(np.array([number[r[c]] for r in rows]) for c in "ab"), np.array([float(r.w) for r in rows]), h)
+    assert joins == {x: ids[one[number[x]]] for x in ids}
+
+
 def test_bridge_questions_are_of_nodes_that_touch_another_community(spark):
     n, e = nodes(spark, "a", "b", "c", "d", "e"), edges(spark, ("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"))
     members = spark.createDataFrame([("a", 0), ("b", 0), ("c", 0), ("d", 1), ("e", 1)], "id string, community int")
