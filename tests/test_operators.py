@@ -230,3 +230,14 @@ def test_glob_rules():
 
     assert ignored("a/b.log", "*.log") and not ignored("a/b.log", "*.log", "!b.log") and ignored("build/x", "build/") and not ignored("rebuild/x", "/build/")
     assert ignored("x/y/z.txt", "x/**/z.txt") and ignored("a/q1", "q[0-9]") and not ignored("a/b", "# a") and glob_regex("!x")[1]
+
+
+def test_communities_come_to_rest_in_few_sweeps(monkeypatch):
+    """Where the last units that gain moved one of each community at a time, a level took hundreds of sweeps."""
+    import numpy as np
+
+    a, b, h = two_sided(2000, 12000, 1)
+    wanting, places = [], communities.Pace.places
+    monkeypatch.setattr(communities.Pace, "places", lambda self, n: wanting.append(n) or places(self, n))
+    communities.louvain(a, b, np.ones(len(a)), h, levels=1)
+    assert len(wanting) < 80
