@@ -83,3 +83,28 @@ def test_graph_is_sound(built):
     assert g.edges.groupBy("source", "target", "key").count().where("count > 1").isEmpty()
     sizes = [r["count"] for r in g.members.groupBy("community").count().orderBy("community").collect()]
     assert sizes == sorted(sizes, reverse=True)
+
+
+def tree_of_one_partition(spark, path, text):
+    from pyspark.sql import functions as F
+
+    from weftgraph.sources import files as tree
+
+    files = spark.range(64, numPartitions=1).select(F.format_string(path, "id").alias("path"), F.lit(text).cast("binary").alias("content"))
+    return files.withColumn("kind", tree.kind_of("path"))
+
+
+def test_classes_are_scanned_once_in_several_tasks(spark):
+    """Nodes, edges and calls each scanned every file again, in one task where the table had one split."""
+    from weftgraph.extract import extract
+
+    got = extract(tree_of_one_partition(spark, "/p/classes/C%d.cls", "public class C { void run() { Helper.log(1); } }"))
+    assert got.nodes.count() > 0 and "MapInArrow" not in got.nodes._jdf.queryExecution().toString()
+    assert len([f for f in got.nodes.inputFiles() if "/cut-" in f]) > 1
+
+
+def test_objects_are_parsed_in_several_tasks(spark):
+    from weftgraph.extract import extract
+
+    got = extract(tree_of_one_partition(spark, "/p/objects/O%d__c/O%d__c.object-meta.xml".replace("O%d__c/", "X/", 1), "<CustomObject><label>S</label></CustomObject>"))
+    assert got.nodes.count() == 64 and len([f for f in got.nodes.inputFiles() if "fragments" in f]) > 1

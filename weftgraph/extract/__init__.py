@@ -18,6 +18,8 @@ from weftgraph.extract.fragments import EDGE_STRUCT, NODE_STRUCT, Fragments, exp
 from weftgraph.extract.xml_kinds import KINDS, File, Kind
 from weftgraph.session import shared_dir
 
+#: Files that one task reads, about.
+TASK_FILES = 50_000
 Extractor = Callable[[DataFrame], Fragments]
 #: Kinds whose extractors are functions of files(path, kind, content, text).
 EXTRACTORS: dict[str, Extractor] = {"apex_class": apex.extract, "apex_trigger": apex.extract, "lwc": bundles.lwc, "aura": bundles.aura, "vf_page": bundles.visualforce, "vf_component": bundles.visualforce, "document": documents.extract, "paper": documents.extract, "image": documents.extract}
@@ -51,7 +53,10 @@ def extract(files: DataFrame) -> Fragments:
     """Fragments of ``files(path, kind, content)``."""
     spark = files.sparkSession
     at = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
-    files.select("path", "kind", "content").write.partitionBy("kind").parquet(at)
+    # a small table of many files is one task's input, and packed files shrink: rows are dealt to tasks by number, not by bytes
+    packed = files.select("path", "kind", "content")
+    parts = max(spark.sparkContext.defaultParallelism, -(-packed.count() // TASK_FILES))
+    packed.withColumn("_task", F.pmod(F.xxhash64("path"), F.lit(parts))).repartition(parts, "_task").drop("_task").write.partitionBy("kind").parquet(at)
     held = spark.read.schema("path string, content binary, kind string").parquet(at).withColumn("text", F.decode(F.when(~F.lower("path").rlike("\\.(docx|xlsx|pdf|png|jpe?g|gif|webp)$"), F.col("content")), "UTF-8"))
     there = {r.kind for r in held.select("kind").distinct().collect()}
     out = Fragments.of(spark)
