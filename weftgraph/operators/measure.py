@@ -84,7 +84,7 @@ def dominant_confidence(edges: DataFrame) -> DataFrame:
 
 def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(kind, ref, error) of everything wrong with a fragment."""
-    ids = nodes.select(F.col("id").alias("_id")).distinct()
+    ids = nodes.select(F.col("id").alias("_id"))
 
     def bad(df: DataFrame, condition, kind: str, ref, error: str) -> DataFrame:
         return df.where(condition).select(F.lit(kind).alias("kind"), F.coalesce(ref, F.lit("")).alias("ref"), F.lit(error).alias("error"))
