@@ -2,8 +2,8 @@
 
 A step joins the frontier with the edges, drops what has been visited, and is written to the shared folder, so lineage
 doesn't grow with depth and lost executors cost one step at most. The planner knows each step's true size, so a small
-frontier is broadcast and a large one shuffled. Walks of no fixed depth write their edges once, narrow and distinct; those of
-a few hops scan the columns that they need at each.
+frontier is broadcast and a large one shuffled. Walks of no fixed depth scan the edges for their first few hops and
+then write them once, narrow and distinct; those of a few hops scan the columns that they need at each.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from weftgraph.operators.measure import degrees_of
 from weftgraph.session import cut
 
 CAP_DEPTH = 10
+#: Of a walk of no fixed depth, so many hops, from so many nodes at most, scan the edges before these are written once.
+SCANS, SCANNED = 4, 100_000
 
 
 def oriented(edges: DataFrame, direction: str = "forward") -> DataFrame:
@@ -53,11 +55,13 @@ def levels(edges: DataFrame, start: DataFrame, depth: int | None = None, directi
 
     The walk ends where it reaches nothing new, after ``depth`` hops, or at ``target``.
     """
-    walk = cut(oriented(edges, direction).select("source", "target").distinct())
+    walk, held = oriented(edges, direction).select("source", "target"), False
     out = [cut(start.select("id", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("parent")).distinct())]
     seen = out[0].select("id")
     hit = F.coalesce(F.max(F.col("id") == target) if target is not None else F.lit(False), F.lit(False))
     while depth is None or len(out) <= depth:
+        if not held and (len(out) > SCANS or out[-1].limit(SCANNED + 1).count() > SCANNED):
+            walk, held = cut(walk.distinct()), True
         step = walk.join(out[-1].select(F.col("id").alias("source")), "source", "left_semi").join(seen.select(F.col("id").alias("target")), "target", "left_anti")
         level = cut(step.groupBy(F.col("target").alias("id")).agg(F.min("source").alias("parent")).select("id", F.lit(len(out)).alias("hops"), "parent"))
         new, there = level.agg(F.count("*"), hit).first()
