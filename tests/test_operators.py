@@ -241,3 +241,35 @@ def test_communities_come_to_rest_in_few_sweeps(monkeypatch):
     monkeypatch.setattr(communities.Pace, "places", lambda self, n: wanting.append(n) or places(self, n))
     communities.louvain(a, b, np.ones(len(a)), h, levels=1)
     assert len(wanting) < 80
+
+
+def test_pruning_joins_no_edges_to_kinds_without_nodes(spark):
+    """Every edge was shuffled by either end, even those to kinds that have no nodes."""
+    n, e = nodes(spark, "a_1", "b_1", "plain"), edges(spark, ("a_1", "b_1"), ("a_1", "c_1"), ("c_1", "a_1"), ("a_1", "b_2"), ("plain", "a_1"))
+    got = build.prune_dangling(n, e)
+    assert {(r.source, r.target) for r in got.collect()} == {("a_1", "b_1"), ("plain", "a_1")}
+    assert "substring_index" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert build.heads_of(n.select(build.head("id")), most=2) is None
+    assert build.prune_dangling(n.where("false"), e).isEmpty()
+
+
+def test_spans_lie_in_two_bins_at_most(spark):
+    """A span lay in up to 17 bins."""
+    spans = spark.createDataFrame([(k, k * 7, k * 7 + 1 + k % 100) for k in range(300)], "span int, lo long, hi long")
+    points = spark.createDataFrame([(p, p * 5) for p in range(500)], "p int, pos long")
+    got = {r.p: r.span for r in intervals.innermost(points, spans, "p").collect()}
+    rows = [(k, k * 7, k * 7 + 1 + k % 100) for k in range(300)]
+    want = {p: min(around)[1] for p in range(500) if (around := [(hi - lo, k) for k, lo, hi in rows if lo <= p * 5 < hi])}
+    assert got == want
+    assert intervals.binned(spans, 2).groupBy("span").count().where("count > 2").isEmpty()
+
+
+def test_short_walks_write_no_edges(spark, monkeypatch):
+    """The path to a node two hops away wrote all edges first."""
+    written = []
+    cut = traverse.cut
+    monkeypatch.setattr(traverse, "cut", lambda df: written.append(df.columns) or cut(df))
+    e = edges(spark, ("a", "b"), ("b", "c"), ("c", "d"))
+    assert traverse.shortest_path(e, "a", "c") == ["a", "b", "c"] and ["source", "target"] not in written
+    monkeypatch.setattr(traverse, "SCANS", 1)
+    assert traverse.shortest_path(e, "a", "d") == ["a", "b", "c", "d"] and ["source", "target"] in written

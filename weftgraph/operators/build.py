@@ -41,6 +41,17 @@ def stub_nodes(nodes: DataFrame, edges: DataFrame, types: dict[str, str] | None
     return ends.join(nodes.select("id"), "id", "left_anti").withColumn("sf_type", kind).where("sf_type is not null").select("id", label.alias("label"), "sf_type", F.lit(True).alias("stub"))
 
 
+def head(x: Column | str) -> Column:
+    """What stands before the first ``_``."""
+    return F.substring_index(x, "_", 1)
+
+
+def heads_of(heads: DataFrame, most: int = 200) -> list[str] | None:
+    """The values of a column, if there are no more than ``most``."""
+    got = [r[0] for r in heads.where(F.col(heads.columns[0]).isNotNull()).distinct().limit(most + 1).collect()]
+    return got if len(got) <= most else None
+
+
 def match_endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Endpoints by exact id, else by normalised id (the least of those that collide), else the edge goes."""
     exact = nodes.select("id").distinct()
@@ -57,7 +68,10 @@ def match_endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def prune_dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges both of whose ends are nodes."""
-    ids = nodes.select(F.col("id").alias("_id")).distinct()
+    ids = nodes.select(F.col("id").alias("_id"))
+    # an end that starts as no id does needs no join
+    if (heads := heads_of(ids.select(head("_id")))) is not None:
+        edges = edges.where(head("source").isin(heads) & head("target").isin(heads))
     return edges.join(ids, F.col("source") == F.col("_id"), "left_semi").join(ids, F.col("target") == F.col("_id"), "left_semi")
 
 
